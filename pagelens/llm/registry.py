@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagelens.llm import secret_scan, topk_search, url_filter
+from pagelens.llm import byte_bpe, language_id, secret_scan, token_files, topk_search, url_filter
 
 
 def queries() -> dict:
@@ -10,6 +10,9 @@ def queries() -> dict:
         "op1_topk_search": topk_search.op1_topk_search,
         "op2_url_filter": url_filter.op2_url_filter,
         "op4_secret_scan": secret_scan.op4_secret_scan,
+        "op5_language_id": language_id.op5_language_id,
+        "op7_token_files": token_files.op7_token_files,
+        "op10_byte_bpe": byte_bpe.op10_byte_bpe,
     }
 
 
