@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagelens.llm import byte_bpe, language_id, quality_model, quality_rules, secret_scan, source_mix, token_files, topk_search, url_filter
+from pagelens.llm import byte_bpe, jaccard_join, language_id, quality_model, quality_rules, secret_scan, source_mix, token_files, topk_search, url_filter
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_quality_model": quality_model.op3_quality_model,
         "op4_secret_scan": secret_scan.op4_secret_scan,
         "op5_language_id": language_id.op5_language_id,
+        "op6_jaccard_join": jaccard_join.op6_jaccard_join,
         "op7_token_files": token_files.op7_token_files,
         "op8_quality_rules": quality_rules.op8_quality_rules,
         "op9_source_mix": source_mix.op9_source_mix,
