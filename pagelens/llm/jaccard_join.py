@@ -333,7 +333,7 @@ def components(edges: DataFrame, limit: int = 40) -> DataFrame:
 
 
 def joined(docs: DataFrame, leaf: int = LEAF, depth: int = DEPTH, recall: float = RECALL) -> DataFrame:
-    """doc_id, copy_id, class_id, n_links for each row of docs (doc_id, text)."""
+    """doc_id, th (xxhash64 of the text used), copy_id, class_id, n_links for each doc_id of docs (doc_id, text)."""
     sketch = common.written(sketches(docs), "sketch")
     if not sketch.groupBy("doc_id").count().where("count > 1").isEmpty():
         rows = F.min(F.struct("th", "n", "fp", "sig", "sig8")).alias("row")
@@ -355,10 +355,10 @@ def joined(docs: DataFrame, leaf: int = LEAF, depth: int = DEPTH, recall: float
     tops = components(rows.select(F.col("rep_id").alias("x"), F.col("root_id").alias("y")))
     per_rep = rows.groupBy("rep_id").agg(F.sum("links").alias("links")).join(tops.withColumnRenamed("id", "rep_id"), "rep_id", "left")
     per_rep = reps.select("fp", "rep_id", "copies").join(per_rep, "rep_id", "left")
-    of = sketch.select("doc_id", F.when(F.col("n") > 0, F.col("fp")).alias("fp")).join(per_rep, "fp", "left")
+    of = sketch.select("doc_id", "th", F.when(F.col("n") > 0, F.col("fp")).alias("fp")).join(per_rep, "fp", "left")
     own = F.coalesce("rep_id", "doc_id")
-    return of.select("doc_id", own.alias("copy_id"), F.coalesce("top", own).alias("class_id"), (F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).cast("long").alias("n_links"))
+    return of.select("doc_id", "th", own.alias("copy_id"), F.coalesce("top", own).alias("class_id"), (F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).cast("long").alias("n_links"))
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return joined(common.table(spark, sf_dir, "documents"))
+    return joined(common.table(spark, sf_dir, "documents")).drop("th")
