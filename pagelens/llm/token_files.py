@@ -42,7 +42,16 @@ def library(path: str) -> byte_bpe.Pieces:
     tokenizer.no_truncation()
     tokenizer.no_padding()
 
+    opens = np.array([t.startswith("\u0120") for t, _ in sorted(tokenizer.get_vocab().items(), key=lambda x: x[1])])
+
     def encode(pieces: list[str]) -> list[bytes]:
+        """Pieces that begin with a space are encoded as one text; their ids are told apart by that space."""
+        if len(pieces) > 1 and pieces[0].startswith(" "):
+            ids = np.array(tokenizer.encode_batch_fast(["".join(pieces)], add_special_tokens=False)[0].ids, "<u4")
+            at = np.flatnonzero(opens[ids])
+            if len(at) == len(pieces):  # else some piece holds more spaces
+                data, ends = ids.tobytes(), [*(4 * at[1:]).tolist(), 4 * len(ids)]
+                return [data[i:j] for i, j in zip((4 * at).tolist(), ends, strict=True)]
         return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
     return byte_bpe.Pieces(encode, [t.content for t in tokenizer.get_added_tokens_decoder().values()])
