@@ -33,7 +33,7 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 LOOSE = re.compile(r" (?!\S)")
 CUT = re.compile(r" (?=\S)")
 #: Pieces a worker remembers; beyond that the store is emptied and fills again.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -52,13 +52,15 @@ class Pieces:
         self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
 
     def _known(self, store: dict, pieces: list[str], lead: str) -> list:
-        missing = list(dict.fromkeys(p for p in pieces if p not in store))
-        if missing:
+        found = list(map(store.get, pieces))
+        if None in found:
+            missing = list(dict.fromkeys([p for p, x in zip(pieces, found, strict=True) if x is None]))
             if len(store) + len(missing) > self.limit:
                 store.clear()
-                missing = list(dict.fromkeys(pieces))
-            store.update(zip(missing, self.encode([lead + p for p in missing]), strict=True))
-        return list(map(store.__getitem__, pieces))
+            new = dict(zip(missing, self.encode([lead + p for p in missing]), strict=True))
+            store.update(new)
+            found = [new[p] if x is None else x for p, x in zip(pieces, found, strict=True)]
+        return found
 
     def of(self, text: str) -> list:
         """What encode() gives for the pieces of the text, in order; special tokens are pieces."""
@@ -96,34 +98,43 @@ class ByteBpe:
         self.bytes_of |= {i: s.encode() for s, i in self.special.items()}
         self.byte_id = [vocab[stand[b]] for b in range(256)]
         pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
-        self.merges = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
+        self.merges = {vocab[a] << 20 | vocab[b]: (rank, vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
         self.words = regex.compile(WORDS)
+        self.known: dict[str, list[int]] = {}
 
     def word(self, data: bytes) -> list[int]:
         symbols = [self.byte_id[b] for b in data]
-        n = len(symbols)
+        n, merge = len(symbols), self.merges.get
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        queue = [(*found, i) for i in range(n - 1) if (found := self.merges.get((symbols[i], symbols[i + 1])))]
-        queue = [(rank, i, made) for rank, made, i in queue]
+        queue = [(found[0], i, found[1]) for i in range(n - 1) if (found := merge(symbols[i] << 20 | symbols[i + 1]))]
         heapq.heapify(queue)
         while queue:
             rank, i, made = heapq.heappop(queue)
-            j = after[i]
-            if symbols[i] < 0 or j < 0 or self.merges.get((symbols[i], symbols[j]), (-1,))[0] != rank:
+            j, left = after[i], symbols[i]
+            if left < 0 or j < 0 or (found := merge(left << 20 | symbols[j])) is None or found[0] != rank:
                 continue  # stale
             symbols[i], symbols[j] = made, -1
-            after[i] = after[j]
-            if after[j] >= 0:
-                before[after[j]] = i
-            for left, right in ((before[i], i), (i, after[i])):
-                if left >= 0 and right >= 0 and (found := self.merges.get((symbols[left], symbols[right]))):
-                    heapq.heappush(queue, (found[0], left, found[1]))
+            k = after[i] = after[j]
+            if k >= 0:
+                before[k] = i
+                if found := merge(made << 20 | symbols[k]):
+                    heapq.heappush(queue, (found[0], i, found[1]))
+            k = before[i]
+            if k >= 0 and (found := merge(symbols[k] << 20 | made)):
+                heapq.heappush(queue, (found[0], k, found[1]))
         return [s for s in symbols if s >= 0]
 
     def piece(self, text: str) -> list[int]:
         if text in self.special:
             return [self.special[text]]
-        return [i for w in self.words.findall(text) for i in self.word(w.encode())]
+        out: list[int] = []
+        for w in self.words.findall(text):
+            if (ids := self.known.get(w)) is None:
+                if len(self.known) >= REMEMBERED // 2:
+                    self.known.clear()
+                ids = self.known[w] = self.word(w.encode())
+            out += ids
+        return out
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", errors="replace")
