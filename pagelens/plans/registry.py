@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from pagelens.plans import keyword_queries, page_queries
+
+MODULES = (page_queries, keyword_queries)
 FLAGSHIP = "n6_top_phrases"
 
 
 def queries() -> dict:
-    return {}
+    return {k: v for m in MODULES for k, v in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for m in MODULES for k, v in m.ORACLES.items()}
