@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pagelens.plans import keyword_queries, page_queries
+from pagelens.plans import keyword_queries, page_queries, table_queries
 
-MODULES = (page_queries, keyword_queries)
+MODULES = (page_queries, keyword_queries, table_queries)
 FLAGSHIP = "n6_top_phrases"
 
 
