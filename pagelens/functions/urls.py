@@ -38,14 +38,19 @@ def origin(url: Column) -> Column:
     return F.when(hostname(url) == "", F.lit("")).otherwise(F.concat(protocol(url), F.lit("//"), hostname(url), port(url)))
 
 
-def resolved(href: Column, base: Column) -> Column:
-    """href against base, as far as protocol, host and path go; null for other schemes."""
+def resolved_at(href: Column, base: Column) -> Column:
+    """href against a base of protocol, origin and folder, as far as protocol, host and path go; null for other schemes."""
     return (
-        F.when(href.rlike("(?i)^https?://"), href).when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), None).when(href.startswith("//"), F.concat(protocol(base), href))
-        .when(href.startswith("/"), F.concat(origin(base), href)).otherwise(F.concat(origin(base), F.regexp_replace(pathname(base), "[^/]*$", ""), href))
+        F.when(href.rlike("(?i)^https?://"), href).when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), None).when(href.startswith("//"), F.concat(base["protocol"], href))
+        .when(href.startswith("/"), F.concat(base["origin"], href)).otherwise(F.concat(base["origin"], base["folder"], href))
     )
 
 
+def resolved(href: Column, base: Column) -> Column:
+    at = {"protocol": protocol(base), "origin": origin(base), "folder": F.regexp_replace(pathname(base), "[^/]*$", "")}
+    return resolved_at(href, at)
+
+
 def trimmed(s: Column) -> Column:
     return F.regexp_replace(F.coalesce(s, F.lit("")), f"^{L.BLANK}+|{L.BLANK}+$", "")
 

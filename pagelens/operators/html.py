@@ -60,7 +60,12 @@ def images(bag: Column) -> Column:
     )
 
 
-def anchors(clean: Column, url: Column) -> Column:
+def base_of(url: Column) -> Column:
+    """What relative addresses on a page resolve against: computed once for each page."""
+    return F.struct(U.protocol(url).alias("protocol"), U.origin(url).alias("origin"), U.hostname(url).alias("hostname"), F.regexp_replace(U.pathname(url), "[^/]*$", "").alias("folder"))
+
+
+def anchors(clean: Column, base: Column) -> Column:
     """(label, host, internal, nofollow, image) of each http(s) link, in order, up to the label limit."""
     pattern = f"(?is)<a{T.EDGE}([^>]*)>(.*?)</a{L.BLANK}*>"
     tags, inner = every(clean, pattern, 1), every(clean, pattern, 2)
@@ -70,9 +75,9 @@ def anchors(clean: Column, url: Column) -> Column:
 
     def described(x: Column) -> Column:
         href = F.coalesce(T.attribute(x["b"], "href"), F.lit(""))
-        host = F.when(~((href == "") | href.startswith("#") | href.rlike("(?i)^(javascript|mailto|tel):")), F.nullif(U.hostname(U.resolved(href, url)), F.lit("")))
+        host = F.when(~((href == "") | href.startswith("#") | href.rlike("(?i)^(javascript|mailto|tel):")), F.nullif(U.hostname(U.resolved_at(href, base)), F.lit("")))
         return F.struct(
-            T.strip_tags(x["inner"]).alias("label"), host.alias("host"), (host == U.hostname(url)).alias("internal"),
+            T.strip_tags(x["inner"]).alias("label"), host.alias("host"), (host == base["hostname"]).alias("internal"),
             F.contains(F.lower(F.coalesce(T.attribute(x["b"], "rel"), F.lit(""))), F.lit("nofollow")).alias("nofollow"), F.rlike(x["inner"], F.lit(r"(?is)<img\b[^>]*\balt\s*=")).alias("image"),
         )
 
@@ -114,9 +119,9 @@ def extract(pages: DataFrame, mode: str = "html") -> DataFrame:
     """pages (page_id, url, html) to page records; one row each."""
     dom = mode == "dom"
     df = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
-    df = df.withColumn("clean", T.strip_non_content(F.col("html")))
+    df = df.withColumns({"clean": T.strip_non_content(F.col("html")), "base": base_of(F.col("url"))})
     df = df.select(
-        "*", bags(F.col("clean"), "meta").alias("metas"), bags(F.col("clean"), "link").alias("rels"), bags(F.col("clean"), "img").alias("imgs"), anchors(F.col("clean"), F.col("url")).alias("anchors"),
+        "*", bags(F.col("clean"), "meta").alias("metas"), bags(F.col("clean"), "link").alias("rels"), bags(F.col("clean"), "img").alias("imgs"), anchors(F.col("clean"), F.col("base")).alias("anchors"),
         headings(F.col("clean")).alias("headings"), title(F.col("clean")).alias("title"), body_text(F.col("clean")).alias("body"), json_ld_types(F.col("html")).alias("schema_types"),
     )
     at = F.filter(F.transform("anchors", lambda a, i: F.when(a["label"] != "", i)), lambda i: i.isNotNull())  # links after the last label that counts are not read
@@ -134,7 +139,7 @@ def extract(pages: DataFrame, mode: str = "html") -> DataFrame:
         micro = F.transform(every(F.col("clean"), r"""(?is)itemtype\s*=\s*["']([^"']+)["']"""), lambda t: F.try_element_at(F.filter(F.split(t, "/"), lambda x: x != ""), F.lit(-1)))
         types = F.array_distinct(F.concat(types, F.filter(micro, lambda t: t.isNotNull())))
     return df.select(
-        "page_id", "url", U.origin(F.col("url")).alias("origin"), U.hostname(F.col("url")).alias("hostname"), U.pathname(F.col("url")).alias("pathname"), U.protocol(F.col("url")).alias("protocol"),
+        "page_id", "url", "base.origin", "base.hostname", U.pathname(F.col("url")).alias("pathname"), "base.protocol",
         "title", meta(metas, "description").alias("meta_description"), meta(metas, "robots").alias("meta_robots"), link_rel(F.col("rels"), "canonical").alias("canonical"),
         F.coalesce(T.attribute(T.attributes(F.regexp_extract("clean", f"(?is)<html{T.EDGE}([^>]*)>", 1)), "lang"), F.lit("")).alias("lang"), meta(metas, "viewport").alias("viewport"),
         F.filter(F.transform("rels", lambda b: T.attribute(b, "hreflang")), lambda x: x.isNotNull() & (x != "")).alias("hreflang"),

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from pagelens import lexicon as L
 from pagelens.functions import text as T
-from pagelens.operators import html, insight, present, vectors
+from pagelens.operators import insight, present, vectors
 from pagelens.operators import keywords as K
 from pagelens.plans import duck as D
 from pagelens.plans import fixtures as X
+from pagelens.plans.page_queries import kept, records
 from pagelens.sources import cache
 
 QUERIES: dict = {}
@@ -28,7 +29,7 @@ c, q = F.col, D.q
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages in groups of a target and five competitors, and the literal groups."""
-    r = K.grouped(html.extract(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+    r = page_docs(spark, sf_dir)
     cols = ["group_id", "doc_idx", "title", "meta_description", "hostname", "fields"]
     return r.select(*cols).unionByName(X.pages(spark).select(*cols))
 
@@ -79,15 +80,15 @@ R6 = lambda name: F.round(name, 6).alias(name)
 
 
 def prof(s, sf):
-    return K.profile(docs(s, sf))
+    return kept(s, sf, "profile", lambda: K.profile(docs(s, sf)))
 
 
 def cand(s, sf):
-    return K.candidates(prof(s, sf))
+    return kept(s, sf, "candidates", lambda: K.candidates(prof(s, sf)))
 
 
 def kw(s, sf):
-    return K.keywords(docs(s, sf))
+    return kept(s, sf, "keywords", lambda: K.keywords(docs(s, sf), prof(s, sf)))
 
 
 _text = lambda s, sf: docs(s, sf).select("group_id", "doc_idx", c("fields.body").alias("body"))
@@ -119,8 +120,8 @@ for _name in ("n7_phraseness", "j7_lookup_members"):
 
 def tfidf(s, sf):
     d = docs(s, sf)
-    p, sizes = K.profile(d), K.group_sizes(d)
-    return K.tfidf(p, K.vocabulary(K.candidates(p), sizes), sizes).select("group_id", "doc_idx", "term", "df", R6("idf"), R6("tfidf"))
+    p, sizes = prof(s, sf), K.group_sizes(d)
+    return K.tfidf(p, K.vocabulary(cand(s, sf), sizes), sizes).select("group_id", "doc_idx", "term", "df", R6("idf"), R6("tfidf"))
 
 
 _tf = f"WITH {VOCAB}, {TFIDF} SELECT group_id, doc_idx, term, df, {r6('idf')}, {r6('tfidf')} FROM tf"
@@ -155,8 +156,8 @@ for _name in ("a8_placements", "j9_substring_fields"):
     add(_name, lambda s, sf: kw(s, sf).select("group_id", "term", F.array_join("placements", ",").alias("placements")), f"WITH {SCORED} SELECT kw.group_id, term, {_place} AS placements FROM kw JOIN docs ON docs.group_id = kw.group_id AND docs.doc_idx = 0")
 add("j6_boilerplate_flag", lambda s, sf: kw(s, sf).select("group_id", "term", "boilerplate"), f"WITH {SCORED} SELECT group_id, term, boilerplate FROM kw")
 for _name in ("j4_left_join_default", "x3_pivot_by_document"):
-    add(_name, lambda s, sf: kw(s, sf).select("group_id", "term", R6("tfidf"), F.posexplode_outer("competitor_tfidf").alias("i", "x")).select("group_id", "term", "tfidf", "i", R6("x")),
-        f"WITH {SCORED}, {TFIDF}, ix AS (SELECT kw.group_id, term, i FROM kw LEFT JOIN LATERAL (SELECT unnest(range(0, comp_count)) AS i) ON true) SELECT ix.group_id, ix.term, round(coalesce(t0.tfidf, 0), 6) AS tfidf, CAST(ix.i AS INTEGER) AS i, CASE WHEN ix.i IS NOT NULL THEN round(coalesce(t1.tfidf, 0), 6) END AS x FROM ix LEFT JOIN tf t0 ON t0.group_id = ix.group_id AND t0.term = ix.term AND t0.doc_idx = 0 LEFT JOIN tf t1 ON t1.group_id = ix.group_id AND t1.term = ix.term AND t1.doc_idx = ix.i + 1")
+    add(_name, lambda s, sf: kw(s, sf).select("group_id", "term", R6("tfidf"), F.posexplode_outer("competitor_tfidf").alias("i", "x")).select("group_id", "term", "tfidf", F.coalesce("i", F.lit(-1)).alias("i"), R6("x")),
+        f"WITH {SCORED}, {TFIDF}, ix AS (SELECT kw.group_id, term, i FROM kw LEFT JOIN LATERAL (SELECT unnest(range(0, comp_count)) AS i) ON true) SELECT ix.group_id, ix.term, round(coalesce(t0.tfidf, 0), 6) AS tfidf, CAST(coalesce(ix.i, -1) AS INTEGER) AS i, CASE WHEN ix.i IS NOT NULL THEN round(coalesce(t1.tfidf, 0), 6) END AS x FROM ix LEFT JOIN tf t0 ON t0.group_id = ix.group_id AND t0.term = ix.term AND t0.doc_idx = 0 LEFT JOIN tf t1 ON t1.group_id = ix.group_id AND t1.term = ix.term AND t1.doc_idx = ix.i + 1")
 SEL = f"{SCORED}, sel AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY group_id) AS cnt FROM kw WHERE rank <= 180) WHERE cnt >= 6)"
 add("a10_gate", lambda s, sf: vectors.selected(kw(s, sf)).groupBy("group_id").agg(F.count("*").alias("n")), f"WITH {SEL} SELECT group_id, count(*) AS n FROM sel GROUP BY 1")
 LEX = f"{SEL}, lx0 AS (SELECT group_id, rank, unnest(str_split(term, ' ')) AS token, generate_subscripts(str_split(term, ' '), 1) AS pos FROM sel), lx1 AS (SELECT group_id, token, count(*) AS freq, min(struct_pack(r := rank, p := pos)) AS first FROM lx0 WHERE token NOT IN {_sets(L.STOPWORDS)} GROUP BY 1, 2), lx AS (SELECT * FROM (SELECT group_id, token, freq, row_number() OVER (PARTITION BY group_id ORDER BY freq DESC, first) - 1 AS dim FROM lx1) WHERE dim < 160)"
@@ -173,7 +174,7 @@ COOC = f"{SEL}, {CTX}, co AS (SELECT sel.group_id, term, cv.dim, count(*) AS c F
 def cooc(s, sf):
     d = docs(s, sf)
     segs = vectors.context_segments(d)
-    return vectors.cooccurrence(vectors.selected(K.keywords(d)), segs, vectors.context_vocabulary(segs))
+    return vectors.cooccurrence(vectors.selected(kw(s, sf)), segs, vectors.context_vocabulary(segs))
 
 
 for _name in ("a13_cooccurrence", "j8_theta_substring"):
@@ -185,7 +186,7 @@ for _name in ("a14_ppmi", "g9_marginal_totals"):
 
 def assembled(s, sf):
     d = docs(s, sf)
-    k = vectors.selected(K.keywords(d))
+    k = vectors.selected(kw(s, sf))
     return k, vectors.assembled(k, d)
 
 
@@ -195,7 +196,7 @@ add("k5_kmeans_groups", lambda s, sf: vectors.clustered(assembled(s, sf)[1]))
 
 def members(s, sf):
     k, long = assembled(s, sf)
-    return k.join(vectors.clustered(long), ["group_id", "term"])
+    return k.join(kept(s, sf, "clusters", lambda: vectors.clustered(long)), ["group_id", "term"])
 
 
 add("a16_cluster_summary", lambda s, sf: vectors.summaries(members(s, sf)).select("group_id", "id", "label", "size", "avg_score", "theme"))
@@ -224,7 +225,7 @@ add("a22_description_suggestion", lambda s, sf: _tgt(s, sf).select("group_id", i
 
 
 def page_docs(s, sf):
-    return K.grouped(html.extract(s.read.parquet(f"{sf}/pages.parquet")))
+    return K.grouped(records(s, sf).where("page_id >= 0"))
 
 
 _BENCH = f"""WITH {DOCS}, d AS (SELECT lg || '-' || blk || '-' || CAST(floor(n / 6) AS BIGINT) AS group_id, n % 6 AS doc_idx, word_count, length(title) AS tl, len(headings) AS hc, internal, img_total, CASE WHEN meta_description <> '' THEN 100 ELSE 0 END AS md FROM num),

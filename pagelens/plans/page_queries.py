@@ -27,9 +27,27 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html").unionByName(X.html(spark))
 
 
+_KEPT: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def kept(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
+    """A table that many queries start from (page records, profiles, keywords), persisted once for each session and input.
+
+    It spills to disk and is recomputed where an executor is lost; html itself is not in it.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _KEPT:
+        _KEPT[key] = make().persist()
+    return _KEPT[key]
+
+
+def records(spark: SparkSession, sf_dir: str, mode: str = "html") -> DataFrame:
+    return kept(spark, sf_dir, mode, lambda: html.extract(pages(spark, sf_dir), mode))
+
+
 def record(name: str, columns: dict, select: str, mode: str = "html", rest: str = "rec") -> None:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return html.extract(pages(spark, sf_dir), mode).select("page_id", *(c.alias(k) for k, c in columns.items()))
+        return records(spark, sf_dir, mode).select("page_id", *(c.alias(k) for k, c in columns.items()))
 
     add(name, query, D.from_rec("page_id, " + select, rest) if select else None)
 
@@ -71,18 +89,18 @@ record("s2_page_record", {k: c(k) for k in ("url", "origin", "hostname", "pathna
 record("s1_page_record_dom", {"dom_nodes": c("dom_nodes"), "empty_anchor": c("links.empty_anchor"), "types": F.array_join("schema_types", ",")}, "", "dom")
 
 HEADS = "h AS (SELECT page_id, unnest(headings) AS h, generate_subscripts(headings, 1) AS pos FROM rec)"
-add("e11_headings", lambda s, sf: html.extract(pages(s, sf)).select("page_id", F.posexplode("headings").alias("p", "h")).select("page_id", (c("p") + 1).cast("long").alias("pos"), "h.level", "h.text"), f"WITH {D.RECORD}, {HEADS} SELECT page_id, pos, h.level AS level, h.text AS text FROM h")
-add("w1_heading_step", lambda s, sf: html.extract(pages(s, sf)).select("page_id", audit.heading_skip().alias("skips")), f"WITH {D.RECORD}, {HEADS}, l AS (SELECT page_id, h.level - lag(h.level) OVER (PARTITION BY page_id ORDER BY pos) AS d FROM h) SELECT page_id, coalesce((SELECT max(d) > 1 FROM l WHERE l.page_id = rec.page_id), false) AS skips FROM rec")
-add("x2_unnest_headings_by_level", lambda s, sf: html.extract(pages(s, sf)).select(F.explode("headings").alias("h")).groupBy("h.level").agg(F.count("*").alias("n")), f"WITH {D.RECORD}, {HEADS} SELECT h.level AS level, count(*) AS n FROM h GROUP BY 1")
+add("e11_headings", lambda s, sf: records(s, sf).select("page_id", F.posexplode("headings").alias("p", "h")).select("page_id", (c("p") + 1).cast("long").alias("pos"), "h.level", "h.text"), f"WITH {D.RECORD}, {HEADS} SELECT page_id, pos, h.level AS level, h.text AS text FROM h")
+add("w1_heading_step", lambda s, sf: records(s, sf).select("page_id", audit.heading_skip().alias("skips")), f"WITH {D.RECORD}, {HEADS}, l AS (SELECT page_id, h.level - lag(h.level) OVER (PARTITION BY page_id ORDER BY pos) AS d FROM h) SELECT page_id, coalesce((SELECT max(d) > 1 FROM l WHERE l.page_id = rec.page_id), false) AS skips FROM rec")
+add("x2_unnest_headings_by_level", lambda s, sf: records(s, sf).select(F.explode("headings").alias("h")).groupBy("h.level").agg(F.count("*").alias("n")), f"WITH {D.RECORD}, {HEADS} SELECT h.level AS level, count(*) AS n FROM h GROUP BY 1")
 LINKS = "k AS (SELECT page_id, hostname, unnest(links) AS a, generate_subscripts(links, 1) AS pos FROM rec)"
 EXTERNAL = f"{LINKS}, e AS (SELECT page_id, a.host AS host, count(*) AS n, min(pos) AS first FROM k WHERE a.host <> hostname GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY n DESC, first) AS rank FROM e)"
-add("e14_external_hosts", lambda s, sf: html.extract(pages(s, sf)).select("page_id", F.posexplode("links.external_hosts").alias("p", "x")).select("page_id", (c("p") + 1).cast("long").alias("rank"), "x.host", c("x.count").cast("long").alias("n")), f"WITH {D.RECORD}, {EXTERNAL} SELECT page_id, rank, host, n FROM r WHERE rank <= 40")
-add("g11_distinct_in_order", lambda s, sf: html.extract(pages(s, sf)).select("page_id", F.array_join(F.array_distinct(F.transform("headings", lambda h: h["level"])), ",").alias("levels")), f"WITH {D.RECORD}, {HEADS}, f AS (SELECT page_id, h.level AS v, min(pos) AS p FROM h GROUP BY 1, 2) SELECT page_id, coalesce((SELECT string_agg(v, ',' ORDER BY p) FROM f WHERE f.page_id = rec.page_id), '') AS levels FROM rec")
+add("e14_external_hosts", lambda s, sf: records(s, sf).select("page_id", F.posexplode("links.external_hosts").alias("p", "x")).select("page_id", (c("p") + 1).cast("long").alias("rank"), "x.host", c("x.count").cast("long").alias("n")), f"WITH {D.RECORD}, {EXTERNAL} SELECT page_id, rank, host, n FROM r WHERE rank <= 40")
+add("g11_distinct_in_order", lambda s, sf: records(s, sf).select("page_id", F.array_join(F.array_distinct(F.transform("headings", lambda h: h["level"])), ",").alias("levels")), f"WITH {D.RECORD}, {HEADS}, f AS (SELECT page_id, h.level AS v, min(pos) AS p FROM h GROUP BY 1, 2) SELECT page_id, coalesce((SELECT string_agg(v, ',' ORDER BY p) FROM f WHERE f.page_id = rec.page_id), '') AS levels FROM rec")
 LD = "b AS (SELECT page_id, json(x) AS j FROM (SELECT page_id, unnest(blocks) AS x FROM rec) WHERE json_valid(x))"
 ENTER = "SELECT page_id, j FROM {0} WHERE json_type(j) = 'OBJECT' UNION ALL SELECT page_id, unnest(CAST(j AS JSON[])) FROM {0} WHERE json_type(j) = 'ARRAY'"
 add(
     "e15_json_ld_types",
-    lambda s, sf: html.extract(pages(s, sf)).select("page_id", F.explode("schema_types").alias("type")),
+    lambda s, sf: records(s, sf).select("page_id", F.explode("schema_types").alias("type")),
     f"WITH {D.RECORD}, {LD}, n1 AS ({ENTER.format('b')}), g AS (SELECT page_id, json_extract(j, '$.\"@graph\"') AS j FROM n1 WHERE json_extract(j, '$.\"@graph\"') IS NOT NULL), n2 AS ({ENTER.format('g')}), a AS (SELECT * FROM n1 UNION ALL SELECT * FROM n2), "
     "t AS (SELECT page_id, json_extract(j, '$.\"@type\"') AS t FROM a), u AS (SELECT page_id, t FROM t WHERE json_type(t) = 'VARCHAR' UNION ALL SELECT page_id, unnest(CAST(t AS JSON[])) FROM t WHERE json_type(t) = 'ARRAY') SELECT DISTINCT page_id, t ->> '$' AS type FROM u",
 )
@@ -131,7 +149,7 @@ OUTCOMES = f"o0 AS (SELECT page_id, unnest([{_cells}]) AS r FROM rec), o AS (SEL
 
 
 def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.outcomes(html.extract(pages(spark, sf_dir)))
+    return kept(spark, sf_dir, "outcomes", lambda: audit.outcomes(records(spark, sf_dir)))
 
 
 add("audit_outcomes", outcomes, f"WITH {D.RECORD}, {OUTCOMES} SELECT page_id, rule_no, rule_id, category, severity, failed, weight FROM o")
@@ -196,13 +214,13 @@ def loose(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LOOSE = f"WITH {_ADDR}, x AS (SELECT pos, regexp_replace(raw, '[?#].*$', '') AS raw FROM a), p AS (SELECT page_id, url, {D.host('url')} AS h, {D.pathname('url')} AS p FROM pages), e AS (SELECT url, min(page_id) AS exact FROM p GROUP BY 1), n AS (SELECT h, p, min(page_id) AS near FROM p WHERE h <> '' GROUP BY 1, 2) SELECT pos, coalesce(exact, near) AS page_id FROM x LEFT JOIN e ON x.raw = e.url LEFT JOIN n ON n.h = {D.host('x.raw')} AND n.p = {D.pathname('x.raw')}"
 add("u11_find_loose", loose, _LOOSE)
 add("j12_equi_join_with_fallback", loose, _LOOSE)
-add("j15_shared_words", lambda s, sf: html.extract(pages(s, sf)).select("page_id", audit.shared_word(c("fields.h1"), c("title")).alias("shared")), D.from_rec(f"page_id, list_has_any({_words('f_h1')}, {_words('title')}) AS shared"))
+add("j15_shared_words", lambda s, sf: records(s, sf).select("page_id", audit.shared_word(c("fields.h1"), c("title")).alias("shared")), D.from_rec(f"page_id, list_has_any({_words('f_h1')}, {_words('title')}) AS shared"))
 QUERIES["u_2_intersect"], ORACLES["u_2_intersect"] = QUERIES["j15_shared_words"], ORACLES["j15_shared_words"]
 
 
 def suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Up to six hosts that a page links to and that are neither ignored, known, nor its own."""
-    r = html.extract(pages(spark, sf_dir)).select("page_id", "hostname", F.posexplode("links.external_hosts").alias("pos", "x")).select("page_id", "hostname", "pos", "x.host")
+    r = records(spark, sf_dir).select("page_id", "hostname", F.posexplode("links.external_hosts").alias("pos", "x")).select("page_id", "hostname", "pos", "x.host")
     known = addresses(spark, sf_dir).where("pos < 20").select(U.hostname(c("raw")).alias("host")).where("host <> ''").distinct()
     r = r.where(~F.rlike("host", F.lit(IGNORED)) & (c("host") != c("hostname"))).join(F.broadcast(known), "host", "left_anti")
     from pyspark.sql import Window
