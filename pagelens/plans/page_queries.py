@@ -45,9 +45,9 @@ def records(spark: SparkSession, sf_dir: str, mode: str = "html") -> DataFrame:
     return kept(spark, sf_dir, mode, lambda: html.extract(pages(spark, sf_dir), mode))
 
 
-def record(name: str, columns: dict, select: str, mode: str = "html", rest: str = "rec") -> None:
+def record(name: str, columns, select: str, mode: str = "html", rest: str = "rec") -> None:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return records(spark, sf_dir, mode).select("page_id", *(c.alias(k) for k, c in columns.items()))
+        return records(spark, sf_dir, mode).select("page_id", *(c.alias(k) for k, c in columns().items()))
 
     add(name, query, D.from_rec("page_id, " + select, rest) if select else None)
 
@@ -69,24 +69,24 @@ add(
     f"WITH {D.RECORD}, t AS (SELECT page_id, tag - 1 AS tag, b FROM (SELECT page_id, unnest({D.bags('a')}) AS b, generate_subscripts({D.bags('a')}, 1) AS tag FROM c1)) "
     "SELECT page_id, tag, key, count(*) AS n, arg_max(value, length(value)) AS value FROM (SELECT page_id, tag, unnest(b.k) AS key, unnest(b.v) AS value FROM t) GROUP BY ALL",
 )
-record("e7_title", {"title": c("title")}, "title")
-record("e8_meta", {"description": c("meta_description"), "robots": c("meta_robots"), "viewport": c("viewport")}, "meta_description AS description, meta_robots AS robots, viewport")
-record("e9_link_rel", {"canonical": c("canonical")}, "canonical")
-record("e10_lang", {"lang": c("lang")}, "lang")
-record("e12_image_counters", {k: c(f"images.{k}").cast("long") for k in ("total", "missing_alt", "empty_alt", "no_dimensions", "no_lazy")}, "img_total AS total, missing_alt, empty_alt, no_dimensions, no_lazy")
-record("e13_link_counters", {k: c(f"links.{k}").cast("long") for k in ("internal", "external", "nofollow")}, "internal, external, nofollow")
-record("e16_body_text", {"body": c("fields.body")}, "body")
-record("e17_word_count", {"word_count": c("word_count").cast("long")}, "word_count")
-record("e18_hreflang", {"hreflang": F.array_join("hreflang", ",")}, "coalesce(array_to_string(hreflang, ','), '') AS hreflang")
-record("e19_open_graph", {f"og_{k}": c(f"og.{k}") for k in ("title", "description", "image", "type", "url")} | {f"twitter_{k}": c(f"twitter.{k}") for k in ("card", "title", "image")},
+record("e7_title", lambda: {"title": c("title")}, "title")
+record("e8_meta", lambda: {"description": c("meta_description"), "robots": c("meta_robots"), "viewport": c("viewport")}, "meta_description AS description, meta_robots AS robots, viewport")
+record("e9_link_rel", lambda: {"canonical": c("canonical")}, "canonical")
+record("e10_lang", lambda: {"lang": c("lang")}, "lang")
+record("e12_image_counters", lambda: {k: c(f"images.{k}").cast("long") for k in ("total", "missing_alt", "empty_alt", "no_dimensions", "no_lazy")}, "img_total AS total, missing_alt, empty_alt, no_dimensions, no_lazy")
+record("e13_link_counters", lambda: {k: c(f"links.{k}").cast("long") for k in ("internal", "external", "nofollow")}, "internal, external, nofollow")
+record("e16_body_text", lambda: {"body": c("fields.body")}, "body")
+record("e17_word_count", lambda: {"word_count": c("word_count").cast("long")}, "word_count")
+record("e18_hreflang", lambda: {"hreflang": F.array_join("hreflang", ",")}, "coalesce(array_to_string(hreflang, ','), '') AS hreflang")
+record("e19_open_graph", lambda: {f"og_{k}": c(f"og.{k}") for k in ("title", "description", "image", "type", "url")} | {f"twitter_{k}": c(f"twitter.{k}") for k in ("card", "title", "image")},
        ", ".join([f"og_{k}" for k in ("title", "description", "image", "type", "url")] + [f"twitter_{k}" for k in ("card", "title", "image")]))
-record("e20_fields", {k: c(f"fields.{k}") for k in L.FIELDS}, "title, f_h1 AS h1, f_description AS description, f_h2 AS h2, f_h3 AS h3, f_anchor AS anchor, f_alt AS alt, body")
-record("e21_anchor_labels_dom", {"empty_anchor": c("links.empty_anchor"), "generic_anchor": c("links.generic_anchor")}, "", "dom")
-record("e22_microdata_dom", {"types": F.array_join("schema_types", ","), "invalid": c("invalid_json_ld")}, "", "dom")
-record("e23_sizes", {"html_bytes": c("html_bytes").cast("long"), "dom_nodes": c("dom_nodes").cast("long")}, "CAST(length(html) + len(regexp_extract_all(html, '[\\x{10000}-\\x{10FFFF}]')) AS BIGINT) AS html_bytes, CAST(0 AS BIGINT) AS dom_nodes")
-record("s2_page_record", {k: c(k) for k in ("url", "origin", "hostname", "pathname", "protocol", "title", "meta_description", "canonical", "lang")} | {"h1_count": c("h1_count").cast("long"), "words": c("word_count").cast("long")},
+record("e20_fields", lambda: {k: c(f"fields.{k}") for k in L.FIELDS}, "title, f_h1 AS h1, f_description AS description, f_h2 AS h2, f_h3 AS h3, f_anchor AS anchor, f_alt AS alt, body")
+record("e21_anchor_labels_dom", lambda: {"empty_anchor": c("links.empty_anchor"), "generic_anchor": c("links.generic_anchor")}, "", "dom")
+record("e22_microdata_dom", lambda: {"types": F.array_join("schema_types", ","), "invalid": c("invalid_json_ld")}, "", "dom")
+record("e23_sizes", lambda: {"html_bytes": c("html_bytes").cast("long"), "dom_nodes": c("dom_nodes").cast("long")}, "CAST(length(html) + len(regexp_extract_all(html, '[\\x{10000}-\\x{10FFFF}]')) AS BIGINT) AS html_bytes, CAST(0 AS BIGINT) AS dom_nodes")
+record("s2_page_record", lambda: {k: c(k) for k in ("url", "origin", "hostname", "pathname", "protocol", "title", "meta_description", "canonical", "lang")} | {"h1_count": c("h1_count").cast("long"), "words": c("word_count").cast("long")},
        "url, origin, hostname, pathname, protocol, title, meta_description, canonical, lang, h1_count, word_count AS words")
-record("s1_page_record_dom", {"dom_nodes": c("dom_nodes"), "empty_anchor": c("links.empty_anchor"), "types": F.array_join("schema_types", ",")}, "", "dom")
+record("s1_page_record_dom", lambda: {"dom_nodes": c("dom_nodes"), "empty_anchor": c("links.empty_anchor"), "types": F.array_join("schema_types", ",")}, "", "dom")
 
 HEADS = "h AS (SELECT page_id, unnest(headings) AS h, generate_subscripts(headings, 1) AS pos FROM rec)"
 add("e11_headings", lambda s, sf: records(s, sf).select("page_id", F.posexplode("headings").alias("p", "h")).select("page_id", (c("p") + 1).cast("long").alias("pos"), "h.level", "h.text"), f"WITH {D.RECORD}, {HEADS} SELECT page_id, pos, h.level AS level, h.text AS text FROM h")
@@ -194,7 +194,7 @@ address("u5_pathname", U.pathname, D.pathname("raw"))
 address("u5_origin", U.origin, D.origin("raw"))
 address("u6_resolve", lambda r: U.resolved(r, F.lit("http://base.org/dir/page")), D.resolved("raw", "'http://base.org/dir/page'"))
 address("u7_slug", lambda r: U.slug(U.pathname(r)), f"coalesce(list_filter(str_split({D.pathname('raw')}, '/'), lambda x: x <> '')[-1], '')")
-record("u8_canonical_compare", {"same": U.without_slash(U.resolved(c("canonical"), c("url"))) == U.without_slash(c("url"))}, f"{_slash(_canon)} = {_slash('url')} AS same")
+record("u8_canonical_compare", lambda: {"same": U.without_slash(U.resolved(c("canonical"), c("url"))) == U.without_slash(c("url"))}, f"{_slash(_canon)} = {_slash('url')} AS same")
 address("u9_scannable", lambda r: F.rlike(r, F.lit("^https?://")), "regexp_matches(raw, '^https?://')")
 # Fixed pattern of hosts that are no competitors.
 IGNORED = r"(?i)(google|facebook|twitter|x\.com|instagram|linkedin|youtube|tiktok|pinterest|reddit|github|gstatic|googleapis|cloudflare|amazonaws|cdn|fonts|wp\.com|gravatar|doubleclick|shopify|wixstatic|squarespace|vimeo|apple\.com|microsoft\.com|adobe\.com|paypal|stripe)"

@@ -56,8 +56,8 @@ _SC = "sc AS (SELECT CAST(unnest(range(0, 101)) AS INTEGER) AS score)"
 _tone = "CASE WHEN score >= 80 THEN 'ok' WHEN score >= {0} THEN 'warning' ELSE 'critical' END"
 add("p9_headline_and_tone", lambda s, sf: _scores(s, sf).select("score", present.headline(c("score")).alias("headline"), present.tone(c("score")).alias("ring"), present.tone(c("score"), 80, 55).alias("web"), audit.grade(c("score")).alias("grade")), f"WITH {_SC} SELECT score, CASE WHEN score >= 90 THEN 'Strong on-page SEO' WHEN score >= 75 THEN 'Solid, with room to improve' WHEN score >= 60 THEN 'Needs work' ELSE 'Significant issues' END AS headline, {_tone.format(60)} AS ring, {_tone.format(55)} AS web, CASE WHEN score >= 90 THEN 'A' WHEN score >= 80 THEN 'B' WHEN score >= 65 THEN 'C' WHEN score >= 50 THEN 'D' ELSE 'F' END AS grade FROM sc")
 AS_OF = "2024-06-01 00:00:00"
-_secs = F.timestamp_diff("SECOND", c("ts"), F.to_timestamp_ntz(F.lit(AS_OF)))
-add("p11_relative_time", lambda s, sf: s.read.parquet(f"{sf}/events.parquet").select("event_id", present.ago(_secs).alias("ago")), f"WITH e AS (SELECT event_id, CAST(trunc(epoch_us(TIMESTAMP '{AS_OF}' - ts) / 1000000.0) AS BIGINT) AS s FROM (SELECT event_id, CAST(ts AS TIMESTAMP) AS ts FROM events)) SELECT event_id, CASE WHEN s < 60 THEN 'just now' WHEN s < 3600 THEN CAST(floor(s / 60) AS BIGINT) || 'm ago' WHEN s < 86400 THEN CAST(floor(s / 3600) AS BIGINT) || 'h ago' ELSE CAST(floor(s / 86400) AS BIGINT) || 'd ago' END AS ago FROM e")
+_secs = lambda: F.timestamp_diff("SECOND", c("ts"), F.to_timestamp_ntz(F.lit(AS_OF)))
+add("p11_relative_time", lambda s, sf: s.read.parquet(f"{sf}/events.parquet").select("event_id", present.ago(_secs()).alias("ago")), f"WITH e AS (SELECT event_id, CAST(trunc(epoch_us(TIMESTAMP '{AS_OF}' - ts) / 1000000.0) AS BIGINT) AS s FROM (SELECT event_id, CAST(ts AS TIMESTAMP) AS ts FROM events)) SELECT event_id, CASE WHEN s < 60 THEN 'just now' WHEN s < 3600 THEN CAST(floor(s / 60) AS BIGINT) || 'm ago' WHEN s < 86400 THEN CAST(floor(s / 3600) AS BIGINT) || 'h ago' ELSE CAST(floor(s / 86400) AS BIGINT) || 'd ago' END AS ago FROM e")
 
 
 def guard(s: SparkSession, sf_dir: str) -> DataFrame:
