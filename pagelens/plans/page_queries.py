@@ -208,10 +208,10 @@ def loose(spark: SparkSession, sf_dir: str) -> DataFrame:
     exact = p.groupBy("url").agg(F.min("page_id").alias("exact")).withColumnRenamed("url", "raw")
     near = p.where("h <> ''").groupBy("h", "p").agg(F.min("page_id").alias("near"))
     a = a.withColumns({"h": U.hostname(c("raw")), "p": U.pathname(c("raw"))})
-    return a.join(exact, "raw", "left").join(near, ["h", "p"], "left").select("pos", F.coalesce("exact", "near").alias("page_id"))
+    return a.join(exact, "raw", "left").join(near, ["h", "p"], "left").select("pos", F.coalesce("exact", "near", F.lit(-1)).alias("page_id"))
 
 
-_LOOSE = f"WITH {_ADDR}, x AS (SELECT pos, regexp_replace(raw, '[?#].*$', '') AS raw FROM a), p AS (SELECT page_id, url, {D.host('url')} AS h, {D.pathname('url')} AS p FROM pages), e AS (SELECT url, min(page_id) AS exact FROM p GROUP BY 1), n AS (SELECT h, p, min(page_id) AS near FROM p WHERE h <> '' GROUP BY 1, 2) SELECT pos, coalesce(exact, near) AS page_id FROM x LEFT JOIN e ON x.raw = e.url LEFT JOIN n ON n.h = {D.host('x.raw')} AND n.p = {D.pathname('x.raw')}"
+_LOOSE = f"WITH {_ADDR}, x AS (SELECT pos, regexp_replace(raw, '[?#].*$', '') AS raw FROM a), p AS (SELECT page_id, url, {D.host('url')} AS h, {D.pathname('url')} AS p FROM pages), e AS (SELECT url, min(page_id) AS exact FROM p GROUP BY 1), n AS (SELECT h, p, min(page_id) AS near FROM p WHERE h <> '' GROUP BY 1, 2) SELECT pos, coalesce(exact, near, -1) AS page_id FROM x LEFT JOIN e ON x.raw = e.url LEFT JOIN n ON n.h = {D.host('x.raw')} AND n.p = {D.pathname('x.raw')}"
 add("u11_find_loose", loose, _LOOSE)
 add("j12_equi_join_with_fallback", loose, _LOOSE)
 add("j15_shared_words", lambda s, sf: records(s, sf).select("page_id", audit.shared_word(c("fields.h1"), c("title")).alias("shared")), D.from_rec(f"page_id, list_has_any({_words('f_h1')}, {_words('title')}) AS shared"))
