@@ -202,6 +202,7 @@ def members(s, sf):
 add("a16_cluster_summary", lambda s, sf: vectors.summaries(members(s, sf)).select("group_id", "id", "label", "size", "avg_score", "theme"))
 add("a17_cluster_labels", lambda s, sf: vectors.labels(members(s, sf)))
 add("a18_themes", lambda s, sf: vectors.summaries(members(s, sf)).groupBy("theme").agg(F.count("*").alias("n")))
+add("k4_seeding", lambda s, sf: vectors.clustered(assembled(s, sf)[1]).groupBy("group_id", "k").agg(F.countDistinct("cluster").alias("used")))
 add("k7_auto_k", lambda s, sf: vectors.clustered(assembled(s, sf)[1]).groupBy("group_id").agg(F.max("k").alias("k"), F.max("silhouette").alias("silhouette")))
 add("p12_cluster_cards", lambda s, sf: members(s, sf).withColumn("r", F.row_number().over(Window.partitionBy("group_id", "cluster").orderBy("rank"))).groupBy("group_id", "cluster").agg(F.count_if(c("r") <= 12).alias("shown"), F.greatest(F.lit(0), F.count("*") - 12).alias("more")))
 add("p10_opportunity_map", lambda s, sf: present.opportunity(members(s, sf)))
