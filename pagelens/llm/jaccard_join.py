@@ -132,7 +132,7 @@ def leaves(reps: DataFrame, leaf: int = LEAF, depth: int = DEPTH, recall: float
         large = here.where(F.col("size") > leaf)
         if level == depth or large.isEmpty():
             break
-        nodes = large.select("rep_id", "path").join(reps.select("rep_id", "sig"), "rep_id")
+        nodes = large.select("rep_id", "path").join(possible(reps.select("rep_id", "sig"), large, ["rep_id"]), "rep_id")
     return found.select("rep_id", "path", "size")
 
 
@@ -332,6 +332,20 @@ def components(edges: DataFrame, limit: int = 40) -> DataFrame:
     return edges.select(F.col("x").alias("id"), F.col("y").alias("top"))
 
 
+def possible(df: DataFrame, wanted: DataFrame, key: list[str], bits: int = 26) -> DataFrame:
+    """The rows of df whose key's hash is that of some wanted key; a few others may pass, none is lost.
+
+    The hashes make a bitmap of 2**bits bits, 8 MB in all whatever the tables' sizes, which is
+    broadcast. So rows that no join needs are dropped before any shuffle.
+    """
+    h = F.pmod(F.xxhash64(*key, F.lit(61)), F.lit(1 << bits))
+    marks = wanted.select(h.alias("h")).groupBy(F.bitmap_bucket_number("h").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("__bitmap"))
+    df = df.withColumn("__h", h).withColumns({"__bucket": F.bitmap_bucket_number("__h"), "__at": F.bitmap_bit_position("__h")}).join(F.broadcast(marks), "__bucket")
+    byte = F.conv(F.hex(F.substring("__bitmap", F.shiftright("__at", 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.expr("(__byte >> CAST(__at % 8 AS INT)) & 1 = 1")
+    return df.withColumn("__byte", byte).where(hit).drop("__h", "__bucket", "__at", "__bitmap", "__byte")
+
+
 def joined(docs: DataFrame, leaf: int = LEAF, depth: int = DEPTH, recall: float = RECALL) -> DataFrame:
     """doc_id, th (xxhash64 of the text used), copy_id, class_id, n_links for each doc_id of docs (doc_id, text)."""
     sketch = common.written(sketches(docs), "sketch")
@@ -349,7 +363,9 @@ def joined(docs: DataFrame, leaf: int = LEAF, depth: int = DEPTH, recall: float
     active = tasks.repartition(*key).sortWithinPartitions(*key, "rep_id").select(*key, "side", "rep_id", "sig8", "paths")
     active = common.written(active.mapInArrow(_active, "path long, a int, b int, side int, rep_id long").join(known, "rep_id"), "active")
     texts = docs.select(F.col("doc_id").cast("long").alias("rep_id"), F.xxhash64("text").alias("th"), "text")
-    texts = texts.join(active.select("rep_id", "th").distinct(), ["rep_id", "th"], "left_semi").dropDuplicates(["rep_id"]).drop("th")
+    wanted = active.select("rep_id", "th").distinct()
+    # An inner join on distinct keys: the optimizer would move a semi join below the bitmap's.
+    texts = possible(texts, wanted, ["rep_id", "th"]).join(wanted, ["rep_id", "th"]).dropDuplicates(["rep_id"]).drop("th")
     checked = active.join(texts, "rep_id").repartition(*key).sortWithinPartitions(*key, "rep_id").select(*key, "side", "rep_id", "sig8", "paths", "copies", "text")
     rows = common.written(checked.mapInArrow(_verified, "rep_id long, root_id long, links long"), "links")
     tops = components(rows.select(F.col("rep_id").alias("x"), F.col("root_id").alias("y")))

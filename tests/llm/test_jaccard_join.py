@@ -92,3 +92,12 @@ def test_minhash_estimates():
     a, b = np.arange(1000, dtype=np.uint64), np.arange(100, 1100, dtype=np.uint64)
     a, b = J._final(a * J._MIX), J._final(b * J._MIX)
     assert abs((J.minhash(a) == J.minhash(b)).mean() - 900 / 1100) < 0.2
+
+
+def test_bitmap_loses_nothing(spark):
+    df = spark.range(20_000).selectExpr("id as a", "id * 7 as b", "'t' as h")
+    wanted = df.where("a % 97 = 3").select("a", "b")
+    got = {r.a for r in J.possible(df, wanted, ["a", "b"]).collect()}
+    want = {i for i in range(20_000) if i % 97 == 3}
+    assert want <= got and len(got) <= len(want) + 40
+    assert J.possible(df, wanted.where("false"), ["a", "b"]).count() == 0
