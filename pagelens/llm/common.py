@@ -59,3 +59,17 @@ def whole_text(col: str | Column = "text") -> Column:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def sampled(df: DataFrame, most: int, key: list[str], seed: int) -> DataFrame:
+    """At most `most` rows, the first in the order of a hash of the key.
+
+    Where there are many more rows, those with large hashes are left out before the ordering, so
+    that tasks do not each send as many rows as the whole sample holds.
+    """
+    span = 1 << 40
+    h = F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(span))
+    n = df.count()
+    if n > 2 * most:
+        df = df.where(h < F.lit(int(span * 1.5 * most / n)))
+    return df.orderBy(h, *key).limit(most)

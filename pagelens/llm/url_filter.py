@@ -161,8 +161,8 @@ class UrlModel:
 
 def fit(labelled: DataFrame, max_rows: int = MAX_LABELLED) -> UrlModel:
     """labelled: (url, host, path, ruled). The sample is the first max_rows urls in hash order."""
-    picked = labelled.select("url", "host", "path", F.expr("int(ruled = 'block')").alias("y"), F.xxhash64("url").alias("h"))
-    return UrlModel([(r.url, r.host, r.path, r.y) for r in picked.orderBy("h", "url").limit(max_rows).collect()])
+    picked = labelled.select("url", "host", "path", F.expr("int(ruled = 'block')").alias("y"))
+    return UrlModel([(r.url, r.host, r.path, r.y) for r in common.sampled(picked, max_rows, ["url"], 42).collect()])
 
 
 def filtered(pages: DataFrame, rules=RULES, max_rows: int = MAX_LABELLED) -> DataFrame:
