@@ -105,11 +105,11 @@ def held_out() -> Column:
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, max_texts: int = MAX_TEXTS) -> Centroids:
-    """docs: text, lang. Ids are picked first, then the picked texts fetched."""
-    h = F.xxhash64("text")
-    by_lang = Window.partitionBy("lang").orderBy("h", "text")
-    picked = docs.where("lang is not null and text is not null").select("lang", "text", h.alias("h"))
-    picked = picked.withColumn("n", F.row_number().over(by_lang)).where(F.col("n") <= per_language).orderBy("n", "lang").limit(max_texts).select("lang", "text").toArrow()
+    """docs: text, lang. Hashes of distinct texts are picked first; only then are the picked texts fetched."""
+    by_lang = Window.partitionBy("lang").orderBy("h")
+    texts = docs.where("lang is not null and text is not null").select("lang", F.xxhash64("text").alias("h"), "text")
+    keys = texts.select("lang", "h").distinct().withColumn("n", F.row_number().over(by_lang)).where(F.col("n") <= per_language).orderBy("n", "lang").limit(max_texts).select("lang", "h")
+    picked = texts.join(F.broadcast(keys), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text")).orderBy("lang", "h").toArrow()
     return Centroids(picked["text"].to_pylist(), picked["lang"].to_pylist())
 
 
