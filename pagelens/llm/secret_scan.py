@@ -34,6 +34,7 @@ HINTS = ("passw", "secret", "token", "api")
 JWT = re.compile(r"eyJ[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]{8,}")
 PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----(.*?)-----END \1-----", re.S)
 BASE64 = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}|[A-Za-z0-9_-]{40,}={0,2}")
+KEYHEAD = re.compile(r"M[A-I]|b3BlbnNza")
 HEXKEY = re.compile(r"[0-9A-Fa-f]{48,}")
 KINDS = ("assign", "access", "hex", "jwt", "pem", "key64", "keyhex")
 
@@ -138,9 +139,9 @@ def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
         out += [("jwt", m.start(), m.end()) for m in JWT.finditer(text) if token_header(m[0])]
     if "PRIVATE KEY-----" in text:
         out += [("pem", m.start(), m.end()) for m in PEM.finditer(text) if key_structure(unbase64(m[2]))]
-    # A DER key begins with a long sequence (0x30), an OpenSSH blob with "openssh".
-    if "MI" in text or "MH" in text or "MC" in text or "b3BlbnNza" in text or "MF" in text or "MG" in text:
-        out += [("key64", m.start(), m.end()) for m in BASE64.finditer(text) if m[0][:2] in ("MI", "MH", "MC", "MF", "MG", "b3") and key_structure(unbase64(m[0]))]
+    # Cheap: a DER key begins with a sequence (0x30, base64 M and A to I by its length), an OpenSSH blob with "openssh".
+    if KEYHEAD.search(text):
+        out += [("key64", m.start(), m.end()) for m in BASE64.finditer(text) if KEYHEAD.match(m[0]) and key_structure(unbase64(m[0]))]
     if "30" in text or "6f70656e737368" in text:
         for m in HEXKEY.finditer(text):
             if len(m[0]) % 2 == 0 and key_structure(bytes.fromhex(m[0])):

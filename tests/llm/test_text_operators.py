@@ -171,6 +171,16 @@ def test_secret_structures():
         assert not {k for k, _, _ in secret_scan.spans(text)[1]} & {"jwt", "pem", "key64", "keyhex"}
 
 
+@pytest.mark.parametrize("size", [28, *range(48, 80), 120, 127, 200, 300])
+def test_secret_keys_of_any_length(size):
+    import base64
+
+    for head in (der(2, b"\1"), der(2, b"\0") + der(0x30, der(6, b"\x2b\x65\x71"))):
+        key = der(0x30, head + der(4, b"k" * (size - len(head) - (2 if size - len(head) < 130 else 4))))
+        text = base64.b64encode(key).decode()
+        assert secret_scan.spans(f"key: {text} tail")[1] == [("key64", 5, 5 + len(text))], text[:4]
+
+
 def brute_base(t):
     t = t or ""
     out = [("assign", m.start(), m.end()) for m in re.finditer(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t) if len(m[2]) >= 6]
