@@ -31,9 +31,13 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 #: Cheap signs that a text can hold an assign match at all.
 HINTS = ("passw", "secret", "token", "api")
-JWT = re.compile(r"eyJ[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]{8,}")
+#: The dot after a token's header, by what follows it; the header is the run before.
+JWT = re.compile(r"\.(?=([A-Za-z0-9_-]*+\.[A-Za-z0-9_-]{8,}+))")
+URLSAFE = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-"
 PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----(.*?)-----END \1-----", re.S)
-BASE64 = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}|[A-Za-z0-9_-]{40,}={0,2}")
+#: Whole runs of both alphabets, and in each of them those of either one, as a run of one may touch the other's characters.
+RUN64 = re.compile(r"[A-Za-z0-9+/_-]{40,}+={0,2}")
+BASE64 = [re.compile(rf"[{x}]{{40,}}+={{0,2}}") for x in ("A-Za-z0-9+/_-", "A-Za-z0-9+/", "A-Za-z0-9_-")]
 KEYHEAD = re.compile(r"M[A-I]|b3BlbnNza")
 HEXKEY = re.compile(r"[0-9A-Fa-f]{48,}")
 KINDS = ("assign", "access", "hex", "jwt", "pem", "key64", "keyhex")
@@ -97,7 +101,8 @@ def ssh_key(data: bytes) -> str | None:
 
 
 def unbase64(text: str) -> bytes | None:
-    bare = re.sub(r"\s+", "", text).rstrip("=")
+    """The bytes in either alphabet, without white space; line breaks may be written as \\n and \\r."""
+    bare = re.sub(r"\s+|\\+[nr]", "", text).rstrip("=")
     if len(bare) % 4 == 1:
         return None
     try:
@@ -123,6 +128,22 @@ def token_header(text: str) -> bool:
     return isinstance(found, dict) and isinstance(found.get("alg"), str)
 
 
+def tokens(text: str) -> Iterator[tuple[int, int]]:
+    """Start and end of signed tokens. A header may follow characters of its own alphabet; it then has to begin as an object does."""
+    done = 0
+    for m in JWT.finditer(text):
+        part = text[text.rfind(".", 0, m.start()) + 1 : m.start()]
+        head = part[len(part.rstrip(URLSAFE)) :]
+        for k in (0, *(x.start() for x in re.finditer("e[wy]", head))):
+            start = m.start() - len(head) + k
+            if start < done or k and not re.match(rb"\{\s*(\"|$)", unbase64(head[k : k + 16]) or b""):
+                continue
+            if token_header(f"{head[k:]}.{m[1]}"):
+                done = m.end(1)
+                yield start, done
+                break
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     out = []
     folded = text.lower()
@@ -135,13 +156,13 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
     out = []
-    if "eyJ" in text:
-        out += [("jwt", m.start(), m.end()) for m in JWT.finditer(text) if token_header(m[0])]
+    out += [("jwt", a, b) for a, b in tokens(text)]
     if "PRIVATE KEY-----" in text:
         out += [("pem", m.start(), m.end()) for m in PEM.finditer(text) if key_structure(unbase64(m[2]))]
     # Cheap: a DER key begins with a sequence (0x30, base64 M and A to I by its length), an OpenSSH blob with "openssh".
     if KEYHEAD.search(text):
-        out += [("key64", m.start(), m.end()) for m in BASE64.finditer(text) if KEYHEAD.match(m[0]) and key_structure(unbase64(m[0]))]
+        found = {m.span() for run in RUN64.finditer(text) for p in BASE64 for m in p.finditer(text, *run.span()) if KEYHEAD.match(m[0]) and key_structure(unbase64(m[0]))}
+        out += [("key64", a, b) for a, b in found]
     if "30" in text or "6f70656e737368" in text:
         for m in HEXKEY.finditer(text):
             if len(m[0]) % 2 == 0 and key_structure(bytes.fromhex(m[0])):

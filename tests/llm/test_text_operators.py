@@ -181,6 +181,30 @@ def test_secret_keys_of_any_length(size):
         assert secret_scan.spans(f"key: {text} tail")[1] == [("key64", 5, 5 + len(text))], text[:4]
 
 
+def test_secret_candidates_are_whole():
+    import base64
+
+    rng = random.Random(1)
+    b64 = lambda x: base64.b64encode(x).decode()
+    url = lambda x: base64.urlsafe_b64encode(x).decode()
+    for _ in range(20):
+        key = der(0x30, der(2, b"\0") + der(0x30, der(6, b"\x2a\x86\x48\x86\xf7\x0d\x01\x01\x01") + der(5, b"")) + der(4, rng.randbytes(40) + b"\xfb\xff\xbf" * 3 + rng.randbytes(60)))
+        for text in (url(key), url(key).rstrip("="), b64(key)):
+            for before, after in (("é ", " x"), ("a=", "\n"), ("_" if "+" in text else "/", "")) if "-" in text or "+" in text else ():
+                assert ("key64", len(before), len(before) + len(text)) in secret_scan.spans(before + text + after)[1]
+        lines = [b64(key)[i : i + 64] for i in range(0, len(b64(key)), 64)]
+        for end in ("\n", "\r\n", "\\n", "\\r\\n", "\\\\n"):
+            text = end.join(["-----BEGIN PRIVATE KEY-----", *lines, "-----END PRIVATE KEY-----"])
+            assert ("pem", 2, 2 + len(text)) in secret_scan.spans(f'"x{text}"')[1]
+    for head in ('{"alg":"HS256"}', '{ "alg": "HS256"}', '{\n  "alg": "none"\n}', '{\r\n"alg":"ES256"}', ' \t{"typ":"JWT","alg":"x"}'):
+        for body in ("{}", '{"sub":"1"}'):
+            text = ".".join(url(x).rstrip("=") for x in (head.encode(), body.encode(), b"s" * 32))
+            for before in ("", "é ", "a.b.", *(["x", "key_"] if head[0] == "{" else [])):
+                assert secret_scan.spans(f"{before}{text} tail")[1] == [("jwt", len(before), len(before) + len(text))], (head, before)
+    for text in ("www.some-longer-name.example.com", url(b'{"a":1}').rstrip("=") + ".abcdef.abcdefghij", url(b'["alg"]').rstrip("=") + ".abcdef.abcdefghij"):
+        assert not secret_scan.spans(text)[1]
+
+
 def brute_base(t):
     t = t or ""
     out = [("assign", m.start(), m.end()) for m in re.finditer(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t) if len(m[2]) >= 6]
