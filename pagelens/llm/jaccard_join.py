@@ -6,7 +6,7 @@ Representatives carry t minhash values, their tokens. A run starts all sets in o
 picks random token positions (1/threshold of them on average) and sends each set to the child
 named by its value there. Nodes small enough are leaves; larger ones are split again, level by
 level, down to a depth limit. Runs are repeated until the chance to miss a pair at the threshold
-is below 1 - recall.
+is below 1 - recall, over the minhash values and the positions drawn.
 
 Inside a leaf all pairs are compared, first by their minhash values, and what remains exactly on
 the 5-gram sets. A leaf still too large at the depth limit (one family of near copies) is cut
@@ -25,6 +25,7 @@ left out; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +37,8 @@ from pyspark.sql import functions as F
 from pagelens.llm import common
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.999
-T, LEAF, DEPTH, SLACK = 64, 1000, 6, 0.18
+#: Pairs that agree in fewer than NEED of T minhash values are not compared; at the threshold about one in 10 million is such.
+T, NEED, LEAF, DEPTH = 64, 32, 1000, 6
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -75,17 +77,30 @@ def fingerprint(s: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(s.tobytes())
 
 
-def runs_for(recall: float, threshold: float, depth: int) -> int:
-    """Runs until a pair at the threshold is missed with probability 1 - recall, if all depth is needed.
+def missed(runs: int, similarity: float, depth: int, threshold: float = THRESHOLD) -> float:
+    """Probability that runs miss a pair of this similarity, if all depth is needed.
 
-    One position is always chosen, a second with probability 1/threshold - 1; lost is the
-    probability that no shared node remains at some level.
+    All runs draw from the same T positions, so the share of them where the pair agrees is binomial,
+    not the similarity itself. Given the share, runs are independent: one position is always chosen,
+    a second, other one with probability 1/threshold - 1; lost is the probability that no shared node
+    remains at some level. Pairs that agree in too few positions never become candidates.
     """
-    lost, more = 0.0, 1 / threshold - 1
-    for _ in range(depth):
-        one = 1 - threshold + threshold * lost
-        lost = (1 - more) * one + more * one * one
-    return int(np.ceil(np.log(1 - recall) / np.log(lost)))
+    total, more = 0.0, (1 / threshold - 1) * (1 - 1 / T)
+    for agree in range(T + 1):
+        share, lost = agree / T, 0.0
+        for _ in range(depth):
+            one = 1 - share + share * lost
+            lost = (1 - more) * one + more * one * one
+        total += math.comb(T, agree) * similarity**agree * (1 - similarity) ** (T - agree) * (1.0 if agree < NEED else lost**runs)
+    return total
+
+
+def runs_for(recall: float, threshold: float, depth: int) -> int:
+    """Runs until a pair at the threshold is missed with probability 1 - recall at most, if all depth is needed."""
+    for runs in range(1, 1000):
+        if missed(runs, threshold, depth, threshold) <= 1 - recall:
+            return runs
+    raise ValueError(f"recall {recall} is out of reach with {T} positions")
 
 
 def sketches(docs: DataFrame) -> DataFrame:
@@ -188,9 +203,9 @@ def _bytes_matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
 
 
-def candidates(sig: np.ndarray, side: np.ndarray, split: bool, least: float) -> tuple[np.ndarray, np.ndarray]:
+def candidates(sig: np.ndarray, side: np.ndarray, split: bool, need: int) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of a group whose one-byte minhash values agree often enough, by blocks of rows."""
-    need, n, left, right = int(np.ceil(least * T)), len(sig), [], []
+    n, left, right = len(sig), [], []
     if n <= 48:
         x, y = np.nonzero((sig[:, None, :] == sig[None, :, :]).sum(axis=2) >= need)
         fine = (x < y) & ((side[x] != side[y]) if split else True)
@@ -208,8 +223,29 @@ def candidates(sig: np.ndarray, side: np.ndarray, split: bool, least: float) ->
     return np.concatenate(left), np.concatenate(right)
 
 
+def _common(n: int, row: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """How many values each two of n rows share; row has the one of each value, which it holds once."""
+    _, column, count = np.unique(values, return_inverse=True, return_counts=True)
+    shared = np.cumsum(count > 1) - 1  # values of one row only meet nothing
+    use = count[column] > 1
+    row, column = row[use], shared[column[use]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((n, n), np.float32)
+    for c in range(0, int(column[-1]) + 1 if len(column) else 0, 2048):
+        lo, hi = np.searchsorted(column, [c, c + 2048])
+        m = np.zeros((n, 2048), np.float32)
+        m[row[lo:hi], column[lo:hi] - c] = 1
+        both += m @ m.T
+    return both
+
+
 def first_shared(paths: list[np.ndarray], x: np.ndarray, y: np.ndarray, path: int) -> np.ndarray:
     """Whether the smallest leaf that the sets of each pair share is this one. paths: sorted leaves of each set."""
+    if len(x) > 4 * len(paths):
+        low = [p[p < path] for p in paths]
+        row = np.repeat(np.arange(len(low)), [len(p) for p in low])
+        return _common(len(low), row, np.concatenate(low))[x, y] == 0
     width = max(len(p) for p in paths)
     below = np.full((len(paths), width), -1, np.int64)
     names: dict[int, int] = {}
@@ -233,7 +269,7 @@ def _active(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hit = np.zeros(t.num_rows, bool)
         for s, e in zip(starts, starts[1:], strict=False):
             if e - s > 1:
-                x, y = candidates(sig[s:e], side[s:e], bool(a[s] != b[s]), THRESHOLD - SLACK)
+                x, y = candidates(sig[s:e], side[s:e], bool(a[s] != b[s]), NEED)
                 if len(x):
                     mine = first_shared([np.array(p, np.int64) for p in lists[s:e]], x, y, int(path[s]))
                     hit[s + x[mine]] = hit[s + y[mine]] = True
@@ -245,20 +281,8 @@ def intersections(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.nd
     """Sizes of the common part of pairs of sorted sets."""
     if len(x) <= 4 * len(sets):
         return np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in zip(x, y, strict=True)], np.int64)
-    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    shared = np.cumsum(count > 1) - 1  # hashes of one set only meet nothing
-    use = count[column] > 1
-    row, column = row[use], shared[column[use]]
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    both = np.zeros((len(sets), len(sets)), np.float32)
-    for c in range(0, int(column[-1]) + 1 if len(column) else 0, 2048):
-        lo, hi = np.searchsorted(column, [c, c + 2048])
-        m = np.zeros((len(sets), 2048), np.float32)
-        m[row[lo:hi], column[lo:hi] - c] = 1
-        both += m @ m.T
-    return both[x, y].astype(np.int64)
+    return _common(len(sets), row, np.concatenate(sets))[x, y].astype(np.int64)
 
 
 def roots(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -288,7 +312,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s, e in zip(starts, starts[1:], strict=False):
             if e - s < 2:
                 continue
-            x, y = candidates(sig[s:e], side[s:e], bool(a[s] != b[s]), THRESHOLD - SLACK)
+            x, y = candidates(sig[s:e], side[s:e], bool(a[s] != b[s]), NEED)
             if not len(x):
                 continue
             mine = first_shared([np.array(p, np.int64) for p in lists[s:e]], x, y, int(path[s]))

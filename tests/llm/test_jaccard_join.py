@@ -81,6 +81,34 @@ def test_runs_reach_the_recall():
     assert J.runs_for(0.999, 0.8, 6) > J.runs_for(0.9, 0.8, 6) >= J.runs_for(0.9, 0.8, 1)
 
 
+def test_missed_pairs_as_simulated():
+    """The tree itself, drawn for many pairs at a time: agree has the positions where a pair agrees."""
+    rng, n = np.random.default_rng(6), 40_000
+    pairs = rng.random((n, J.T)) < 0.8
+    met = np.zeros(n, bool)
+    for _ in range(J.runs_for(0.999, 0.8, 6)):
+        at = np.arange(n)  # one entry for each node that still holds both sets
+        for _ in range(6):
+            one, two = rng.integers(0, J.T, (2, len(at)))
+            second = (rng.random(len(at)) < 0.25) & (one != two)
+            at = np.concatenate([at[pairs[at, one]], at[second & pairs[at, two]]])
+        met[at] = True
+    assert 1 - (met & (pairs.sum(axis=1) >= J.NEED)).mean() <= 0.0013
+
+
+def test_family_at_the_threshold(spark):
+    """Two words of 184 are replaced in each text, so every pair shares 160 of 200 5-grams or more."""
+    rng, n, rows = random.Random(8), 2600, []
+    for k in range(n):
+        words = [f"w{i}" for i in range(184)]
+        for j, at in enumerate(rng.sample(range(184), 2)):
+            words[at] = f"x{k}_{j}"
+        rows.append((k, " ".join(words)))
+    out = J.joined(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).agg(F.sum("n_links"), F.max("class_id")).first()
+    assert out[1] == 0
+    assert 0.999 * n * (n - 1) <= out[0] <= n * (n - 1)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(100, 130)] + [(5, 9), (9, 2), (7, 2)] + [(50, k) for k in range(51, 90)]
     got = {r.id: r.top for r in J.components(spark.createDataFrame(edges, "x long, y long")).collect()}
