@@ -45,7 +45,7 @@ def maxscore(ids: np.ndarray, x: np.ndarray, query_id: int, q: np.ndarray, k: in
         if cut >= len(order):
             continue
         part = x[own][:, order[cut:]] * q[order[cut:]]
-        if full:
+        if full and (cut or bar > 0):  # else a row in no posting list, at 0 or below, can still beat a negative bar
             listed = (part > 0).any(axis=1)
             own, part = own[listed], part[listed]
         score = part.sum(axis=1)

@@ -123,6 +123,12 @@ def test_top_k_skips_work(monkeypatch):
     assert list(at) == list(np.lexsort((np.arange(4096), -x.sum(axis=1)))[:10])
 
 
+def test_top_k_below_zero():
+    x = np.random.default_rng(2).uniform(0.1, 1, size=(3000, 6))
+    at, best = topk_search.maxscore(np.arange(3000), x, -1, -np.ones(6), 10)
+    assert list(at) == list(np.lexsort((np.arange(3000), x.sum(axis=1)))[:10])
+
+
 def test_url_rules_and_trees(spark):
     urls = [None, "", "nothing", "http://WWW.Example.com/en/1?x#y", "http://example.com/en/", "https://a.b.net/es/x", "http://xnet/es/", "http://com/", "http://a.com", "http://A.ORG?x", "x://y.net/fr/z://b", "http://\n.net/fr/1"]
     want = [("", "", None), ("", "", None), ("", "", None), ("www.example.com", "/en/1", "www.example.com/en/"), ("example.com", "/en/", "example.com/en/"), ("a.b.net", "/es/x", "net/es/"),
