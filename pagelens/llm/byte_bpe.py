@@ -6,7 +6,10 @@ Decoding concatenates the byte strings of the vocabulary.
 
 Texts are cut at special tokens and then before every space that a non-space follows. Such a
 space always begins a word of the vocabulary's own pattern, whatever stands around it, so pieces
-can be encoded apart and remembered; only pieces not seen before meet the full pattern.
+can be encoded apart. Texts go many at a time: their pieces are dictionary-encoded, each distinct
+piece is looked up or encoded once, and the results are gathered back by position. Only pieces not
+remembered meet the full pattern, and only words not remembered are merged. That holds for one kind of vocabulary file, which checked()
+makes sure of; other files raise a ValueError.
 
 Defined results: a null text is empty, with no ids; an id's unpaired bytes decode to U+FFFD;
 equal texts get equal rows.
@@ -18,13 +21,19 @@ import hashlib
 import heapq
 import json
 import re
+import unicodedata
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, pairwise
+from typing import TypeVar
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pagelens.llm import common
 
@@ -32,8 +41,8 @@ from pagelens.llm import common
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LOOSE = re.compile(r" (?!\S)")
 CUT = re.compile(r" (?=\S)")
-#: Pieces a worker remembers; beyond that the store is emptied and fills again.
-REMEMBERED = 600_000
+#: Pieces a worker remembers at most.
+REMEMBERED = 400_000
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -42,42 +51,154 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-class Pieces:
-    """Splits texts into pieces that encode independently, and remembers what each encodes to."""
+V = TypeVar("V")
+
+
+class Remembered:
+    """A bounded store in two generations: the young one, when full, replaces the old one; what is asked for again moves back."""
 
-    def __init__(self, encode: Callable[[list[str]], list], special: list[str], limit: int = REMEMBERED):
-        self.encode, self.limit = encode, limit
-        self.first: dict[str, object] = {}
-        self.later: dict[str, object] = {}
-        self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
+    def __init__(self, limit: int):
+        self.limit, self.young, self.old = max(1, limit // 2), {}, {}
 
-    def _known(self, store: dict, pieces: list[str], lead: str) -> list:
-        found = list(map(store.get, pieces))
+    def put(self, key: str, value) -> None:
+        if len(self.young) >= self.limit:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+
+    def get(self, key: str, make: Callable):
+        """What is known about the key; make() is asked where nothing is."""
+        value = self.young.get(key)
+        if value is None:
+            if (value := self.old.get(key)) is None:
+                value = make(key)
+            self.put(key, value)
+        return value
+
+    def all(self, keys: list[str], make: Callable) -> list:
+        found = list(map(self.young.get, keys))
         if None in found:
-            missing = list(dict.fromkeys([p for p, x in zip(pieces, found, strict=True) if x is None]))
-            if len(store) + len(missing) > self.limit:
-                store.clear()
-            new = dict(zip(missing, self.encode([lead + p for p in missing]), strict=True))
-            store.update(new)
-            found = [new[p] if x is None else x for p, x in zip(pieces, found, strict=True)]
+            for i, value in enumerate(found):
+                if value is None:
+                    found[i] = self.get(keys[i], make)
         return found
 
-    def of(self, text: str) -> list:
-        """What encode() gives for the pieces of the text, in order; special tokens are pieces."""
-        if self.special is not None and (marks := self.special.findall(text)):
-            plain = self.special.split(text)
-            out = self._plain(plain[0])
+
+class Pieces:
+    """Splits texts into pieces that encode independently, and remembers what each encodes to.
+
+    word() gives the value of one word of the pattern; combine() adds up consecutive values. A piece is
+    kept without the space that it begins with; a text's first piece has none and is not kept whole.
+    """
+
+    def __init__(self, word: Callable[[str], V], combine: Callable[[list[V]], V], special: dict[str, V], limit: int = REMEMBERED):
+        self.word, self.combine, self.special, self.empty = word, combine, special, combine([])
+        self.plain, self.full = patterns()
+        self.spaced, self.bare = Remembered(limit), Remembered(limit // 8)
+        self.marks = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
+
+    def _part(self, word: str) -> V:
+        return self.spaced.get(word[1:], self._spaced) if word[0] == " " and len(word) > 1 else self.bare.get(word, self.word)
+
+    def _words(self, piece: str) -> V:
+        words = self.plain(piece) if piece.isascii() else self.full(piece)
+        if len(words) == 1:
+            return self.word(piece)
+        return self.combine([self._part(w) for w in words])
+
+    def _spaced(self, piece: str) -> V:
+        """Value of a piece that follows a space, which is part of it."""
+        return self.word(" " + piece) if piece.isalpha() else self._words(" " + piece)
+
+    def head(self, piece: str) -> V:
+        """Value of a text's first piece."""
+        return self._words(piece) if piece else self.empty
+
+    def of(self, text: str) -> V:
+        """Value of one text; special tokens are pieces."""
+        if self.marks is not None and (marks := self.marks.findall(text)):
+            plain = self.marks.split(text)
+            out = [self._plain(plain[0])]
             for mark, part in zip(marks, plain[1:], strict=True):
-                out += self._known(self.first, [mark], "") + self._plain(part)
-            return out
+                out += [self.special[mark], self._plain(part)]
+            return self.combine(out)
         return self._plain(text)
 
-    def _plain(self, text: str) -> list:
-        if not text:
-            return []
-        pieces = CUT.split(text) if LOOSE.search(text) else text.split(" ")
-        out = self._known(self.first, pieces[:1], "") if pieces[0] else []
-        return out + self._known(self.later, pieces[1:], " ")
+    def _plain(self, text: str) -> V:
+        first, *later = CUT.split(text)
+        return self.combine([self.head(first), *self.spaced.all(later, self._spaced)])
+
+    def gathered(self, texts: pa.Array) -> tuple[list[V], np.ndarray, np.ndarray]:
+        """Values, the positions among them of the pieces of all texts in order, and where each text ends there."""
+        whole = pc.fill_null(texts, "")
+        strings = whole.to_pylist()
+        odd = [i for i, t in enumerate(strings) if LOOSE.search(t) or (self.marks is not None and self.marks.search(t))]
+        heads = [t.split(" ", 1)[0] for t in strings]
+        of_head = [self.head(h) for h in heads]
+        if odd:  # cut one by one; each counts as one piece
+            for i in odd:
+                of_head[i], strings[i] = self.of(strings[i]), ""
+            whole = pa.array(strings, whole.type)
+        parts = pc.split_pattern(whole, " ")
+        coded = parts.flatten().dictionary_encode()
+        ends = np.cumsum(parts.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+        index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        index[np.concatenate([[0], ends[:-1]]).astype(np.int64)[: len(heads)]] = len(coded.dictionary) + np.arange(len(heads))
+        return self.spaced.all(coded.dictionary.to_pylist(), self._spaced) + of_head, index, ends
+
+
+def joined(values: list[bytes], index: np.ndarray, ends: np.ndarray) -> tuple[memoryview, np.ndarray]:
+    """The values at these positions one after the other, and where each text begins and ends in that."""
+    taken = pa.array(values, pa.large_binary()).take(pa.array(index))
+    _, offsets, data = taken.buffers()
+    at = np.frombuffer(offsets, np.int64)[taken.offset : taken.offset + len(taken) + 1] if len(taken) else np.zeros(1, np.int64)
+    return memoryview(data) if data is not None else memoryview(b""), at[np.concatenate([[0], ends]).astype(np.int64)]
+
+
+def chunks(texts: pa.Array, size: int = 8 << 20) -> Iterator[tuple[int, int]]:
+    """(start, length) of runs of rows with about `size` bytes of text; a longer text is alone or the last of its run."""
+    total = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)) if len(texts) else np.empty(0, np.int64)
+    start = 0
+    while start < len(texts):
+        before = int(total[start - 1]) if start else 0
+        end = min(len(texts), int(np.searchsorted(total, before + size)) + 1)
+        yield start, end - start
+        start = end
+
+
+@lru_cache(maxsize=1)
+def patterns() -> tuple[Callable[[str], list[str]], Callable[[str], list[str]]]:
+    """Splitters into words, for ASCII and for any text.
+
+    The libraries know different editions of Unicode: of the letters and numbers that this Python does
+    not know, those that the vocabulary's own library does not know either count as neither.
+    """
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    cut = ByteLevel(add_prefix_space=False).pre_tokenize_str
+    wide = regex.compile(r"[\p{L}\p{N}]").match
+    young = [c for c in map(chr, chain(range(0xD800), range(0xE000, 0x110000))) if unicodedata.category(c) == "Cn" and wide(c)]
+    newer = [c for c in young if len(cut("a" + c)) > 1 and len(cut("1" + c)) > 1]
+    codes, spans = list(map(ord, newer)), []
+    for c in codes:
+        if spans and spans[-1][1] == c - 1:
+            spans[-1][1] = c
+        else:
+            spans.append([c, c])
+    new = "".join(rf"\U{a:08x}-\U{b:08x}" for a, b in spans)
+    full = WORDS.replace(r"[^\s\p{L}\p{N}]", rf"[[^\s\p{{L}}\p{{N}}]||[{new}]]").replace(r"\p{L}+", rf"[\p{{L}}--[{new}]]+").replace(r"\p{N}+", rf"[\p{{N}}--[{new}]]+") if new else WORDS
+    return regex.compile(WORDS).findall, regex.compile(full, regex.V1).findall
+
+
+def checked(path: str) -> dict:
+    """The vocabulary file, if cutting and encoding here are right for it; else a ValueError."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, cut = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    whole = not any(t.get(k) for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized"))
+    if not (model.get("type", "BPE") == "BPE" and plain and whole and not spec.get("normalizer") and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space")):
+        raise ValueError(f"{path} is not a byte-level BPE vocabulary with the usual word pattern")
+    return spec
 
 
 def byte_symbols() -> dict[int, str]:
@@ -89,18 +210,16 @@ def byte_symbols() -> dict[int, str]:
 
 class ByteBpe:
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+        spec = checked(path)
         vocab, stand = spec["model"]["vocab"], byte_symbols()
         back = {c: b for b, c in stand.items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes_of = {i: bytes(map(back.__getitem__, s)) for s, i in vocab.items() if all(c in back for c in s)}
         self.bytes_of |= {i: s.encode() for s, i in self.special.items()}
+        self.decimal_of = {i: b"%d," % i for i in self.bytes_of}
         self.byte_id = [vocab[stand[b]] for b in range(256)]
         pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
         self.merges = {vocab[a] << 20 | vocab[b]: (rank, vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
-        self.words = regex.compile(WORDS)
-        self.known: dict[str, list[int]] = {}
 
     def word(self, data: bytes) -> list[int]:
         symbols = [self.byte_id[b] for b in data]
@@ -124,37 +243,28 @@ class ByteBpe:
                 heapq.heappush(queue, (found[0], k, found[1]))
         return [s for s in symbols if s >= 0]
 
-    def piece(self, text: str) -> list[int]:
-        if text in self.special:
-            return [self.special[text]]
-        out: list[int] = []
-        for w in self.words.findall(text):
-            if (ids := self.known.get(w)) is None:
-                if len(self.known) >= REMEMBERED // 2:
-                    self.known.clear()
-                ids = self.known[w] = self.word(w.encode())
-            out += ids
-        return out
-
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", errors="replace")
 
 
 @lru_cache(maxsize=2)
 def codec(path: str) -> tuple[ByteBpe, Pieces]:
+    """The codec, and its pieces with three values: ids as integers of 32 bits, decimals with a comma after each, decoded bytes."""
     bpe = ByteBpe(path)
+    text, raw = bpe.decimal_of, bpe.bytes_of
+
+    def value(ids: list[int]) -> tuple[bytes, bytes, bytes]:
+        return array("I", ids).tobytes(), b"".join([text[i] for i in ids]), b"".join([raw[i] for i in ids])
 
-    def remembered(pieces: list[str]) -> list[tuple[tuple[int, ...], str]]:
-        each = map(bpe.piece, pieces)
-        return [(tuple(ids), ",".join(map(str, ids))) for ids in each]
+    def combine(values: list[tuple[bytes, bytes, bytes]]) -> tuple[bytes, bytes, bytes]:
+        return tuple(map(b"".join, zip(*values, strict=True))) if values else (b"", b"", b"")
 
-    return bpe, Pieces(remembered, list(bpe.special))
+    return bpe, Pieces(lambda w: value(bpe.word(w.encode())), combine, {t: value([i]) for t, i in bpe.special.items()})
 
 
-def encode(text: str | None, path: str) -> tuple[list[int], str]:
-    """The ids, and the same as decimals joined by commas."""
-    found = codec(path)[1].of(text or "")
-    return list(chain.from_iterable(f[0] for f in found)), ",".join([f[1] for f in found])
+def encode(text: str | None, path: str) -> list[int]:
+    """The ids of one text."""
+    return array("I", codec(path)[1].of(text or "")[0]).tolist()
 
 
 DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -162,20 +272,20 @@ DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """docs with a struct `bpe` of DIGESTS: the ids of the whole text, and what they decode to."""
-    from pyspark.sql import functions as F
-
     path = path or vocabulary_path()
 
+    def one(texts: pa.Array) -> pa.Array:
+        values, index, ends = codec(path)[1].gathered(texts)
+        ids, decimals, raw = zip(*values, strict=True) if values else ((), (), ())
+        n = np.diff(joined(ids, index, ends)[1]) // 4
+        (listed, a), (bare, b) = joined(decimals, index, ends), joined(raw, index, ends)
+        of_ids = [hashlib.sha256(listed[i : max(i, j - 1)]).hexdigest() for i, j in pairwise(a.tolist())]
+        of_text = [hashlib.sha256(str(bare[i:j], "utf-8", "replace").encode()).hexdigest() for i, j in pairwise(b.tolist())]
+        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], ["n_tokens", "ids_sha256", "decoded_sha256"])
+
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        bpe = codec(path)[0]
         for texts in batches:
-            n, of_ids, of_text = [], [], []
-            for t in texts:
-                ids, joined = encode(t.as_py(), path)
-                n.append(len(ids))
-                of_ids.append(hashlib.sha256(joined.encode()).hexdigest())
-                of_text.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
-            yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], ["n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.concat_arrays([one(texts.slice(i, n)) for i, n in chunks(texts)]) if len(texts) else one(texts)
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return docs.withColumn("bpe", F.arrow_udf(run, DIGESTS)(F.col("text")))

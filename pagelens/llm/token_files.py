@@ -14,6 +14,7 @@ by text; a null doc_id comes first; an empty table gives no rows.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,28 +34,43 @@ SCHEMA = "doc_id long, shard int, first long, n_tokens long, tokens array<int>"
 END_ID = 2
 
 
-@lru_cache(maxsize=2)
-def library(path: str) -> byte_bpe.Pieces:
-    """The tokenizers library behind a store of pieces it has encoded before."""
-    from tokenizers import Tokenizer
+class Library:
+    """The tokenizers library's model behind a store of the pieces it has encoded before; ids as bytes."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        try:
+            spec = byte_bpe.checked(path)
+        except (ValueError, KeyError):
+            self.pieces = None  # cutting is not known to be right for such a file
+            return
+        tokenize, symbols = self.tokenizer.model.tokenize, str.maketrans({chr(b): c for b, c in byte_bpe.byte_symbols().items()})
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
+        def word(w: str) -> bytes:
+            known = w.isascii() and w[1:].isalpha()  # then only a first space has a stand-in
+            mapped = w[0].translate(symbols) + w[1:] if known else w.encode().decode("latin-1").translate(symbols)
+            return array("I", [t.id for t in tokenize(mapped)]).tobytes()
 
-    opens = np.array([t.startswith("\u0120") for t, _ in sorted(tokenizer.get_vocab().items(), key=lambda x: x[1])])
+        self.pieces = byte_bpe.Pieces(word, b"".join, {t["content"]: array("I", [t["id"]]).tobytes() for t in spec["added_tokens"]})
 
-    def encode(pieces: list[str]) -> list[bytes]:
-        """Pieces that begin with a space are encoded as one text; their ids are told apart by that space."""
-        if len(pieces) > 1 and pieces[0].startswith(" "):
-            ids = np.array(tokenizer.encode_batch_fast(["".join(pieces)], add_special_tokens=False)[0].ids, "<u4")
-            at = np.flatnonzero(opens[ids])
-            if len(at) == len(pieces):  # else some piece holds more spaces
-                data, ends = ids.tobytes(), [*(4 * at[1:]).tolist(), 4 * len(ids)]
-                return [data[i:j] for i, j in zip((4 * at).tolist(), ends, strict=True)]
-        return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+    def ids(self, texts: pa.Array, end: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the whole texts one after the other, each text's followed by `end`, and where they begin and end."""
+        if self.pieces is None:
+            lists = [array("I", self.tokenizer.encode(t or "", add_special_tokens=False).ids).tobytes() + end for t in texts.to_pylist()]
+            return np.frombuffer(b"".join(lists), np.int32), np.cumsum([0, *map(len, lists)]) // 4
+        values, index, ends = self.pieces.gathered(texts)
+        index = np.insert(index, ends, len(values))
+        data, at = byte_bpe.joined([*values, end], index, ends + np.arange(1, len(ends) + 1))
+        return np.frombuffer(data, np.int32)[: at[-1] // 4], at // 4
 
-    return byte_bpe.Pieces(encode, [t.content for t in tokenizer.get_added_tokens_decoder().values()])
+
+@lru_cache(maxsize=2)
+def library(path: str) -> Library:
+    return Library(path)
 
 
 def _encoder(path: str, end_id: int):
@@ -64,15 +80,14 @@ def _encoder(path: str, end_id: int):
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        shard, total, pieces, end = TaskContext.get().partitionId(), 0, library(path), np.array([end_id], "<u4").tobytes()
+        shard, total, ids, end = TaskContext.get().partitionId(), 0, library(path).ids, array("I", [end_id]).tobytes()
         for batch in batches:
-            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
-                ids = [np.frombuffer(b"".join([*pieces.of(t.as_py() or ""), end]), "<u4") for t in part["text"]]
-                sizes = np.array([len(x) for x in ids], np.int64)
-                first = total + np.cumsum(sizes) - sizes
-                total += int(sizes.sum())
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.concatenate(ids).view(np.int32)))
-                yield pa.RecordBatch.from_arrays([part["doc_id"].cast(pa.int64()), pa.array(np.full(len(ids), shard, np.int32)), pa.array(first), pa.array(sizes), lists], ["doc_id", "shard", "first", "n_tokens", "tokens"])
+            for start, n in byte_bpe.chunks(batch["text"]):
+                part = batch.slice(start, n)
+                flat, at = ids(part["text"], end)
+                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([part["doc_id"].cast(pa.int64()), pa.array(np.full(n, shard, np.int32)), pa.array(total + at[:-1]), pa.array(np.diff(at)), lists], ["doc_id", "shard", "first", "n_tokens", "tokens"])
+                total += int(at[-1])
 
     return run
 
