@@ -33,7 +33,7 @@ def folded() -> np.ndarray:
     global _FOLDED
     if _FOLDED is None:
         out = np.zeros(0x110000, np.uint32)
-        for c in map(chr, range(0x30000)):
+        for c in map(chr, range(0x110000)):
             if c.isalpha():
                 out[ord(c)] = ord(c.lower()[0])
         _FOLDED = out
@@ -105,10 +105,19 @@ def held_out() -> Column:
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, max_texts: int = MAX_TEXTS) -> Centroids:
-    """docs: text, lang. Hashes of distinct texts are picked first; only then are the picked texts fetched."""
-    by_lang = Window.partitionBy("lang").orderBy("h")
+    """docs: text, lang. Hashes of distinct texts are picked first; only then are the picked texts fetched.
+
+    A language's hashes are spread evenly, so those below a cut of four times its share hold its first
+    per_language ones; only these are ordered, and no task sees more of a language than that, whatever
+    the table's size. At most max_texts languages can have a text in the sample, so no more are carried.
+    """
     texts = docs.where("lang is not null and text is not null").select("lang", F.xxhash64("text").alias("h"), "text")
-    keys = texts.select("lang", "h").distinct().withColumn("n", F.row_number().over(by_lang)).where(F.col("n") <= per_language).orderBy("n", "lang").limit(max_texts).select("lang", "h")
+    langs = texts.groupBy("lang").agg(F.approx_count_distinct("h").alias("distinct")).orderBy("lang").limit(max_texts)
+    low = F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53)) * F.col("distinct") < 4.0 * per_language
+    keys = texts.select("lang", "h").join(F.broadcast(langs), "lang").where(low).select("lang", "h").distinct()
+    order = F.shiftrightunsigned("h", 11)
+    by_lang = Window.partitionBy("lang").orderBy(order, "h")
+    keys = keys.withColumn("n", F.row_number().over(by_lang)).where(F.col("n") <= per_language).orderBy("n", "lang").limit(max_texts).select("lang", "h")
     picked = texts.join(F.broadcast(keys), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text")).orderBy("lang", "h").toArrow()
     return Centroids(picked["text"].to_pylist(), picked["lang"].to_pylist())
 
