@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space, the only characters that separate words here.
@@ -20,7 +21,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a local one is set only where none is configured."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):  # local-cluster has executors of its own
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="pagelens-")
         spark.conf.set("spark.checkpoint.dir", found)
@@ -61,15 +62,31 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def sampled(df: DataFrame, most: int, key: list[str], seed: int) -> DataFrame:
-    """At most `most` rows, the first in the order of a hash of the key.
+def by_heavy(rows: DataFrame, of_key: DataFrame, key: str, count: str, total: int, share: int = 1000) -> DataFrame:
+    """rows with what of_key (one row for each key, with its number of rows) says about their key; others are left out.
 
-    Where there are many more rows, those with large hashes are left out before the ordering, so
-    that tasks do not each send as many rows as the whole sample holds.
+    Keys with more than one in `share` of all rows are fewer than `share`, so these are broadcast and
+    their rows stay where they are; only the rows of the other keys are shuffled to them.
+    """
+    heavy = F.col(count) * share > F.lit(total)
+    few = F.broadcast(of_key.where(heavy))
+    rest = rows.join(F.broadcast(of_key.where(heavy).select(key)), key, "left_anti")
+    return rows.join(few, key).unionByName(rest.join(of_key.where(~heavy), key))
+
+
+def sampled(df: DataFrame, most: int, key: str, seed: int) -> list[Row]:
+    """Rows of at most `most` distinct keys, the first in the order of a hash of the key; df has one value of the others for each key.
+
+    Only keys below a cut of the hash are ordered, so that no task handles more than a few times the
+    sample. The cut comes from the approximate number of keys and is widened until the sample is full
+    or no key is left out, so it has no influence on the result.
     """
     span = 1 << 40
-    h = F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(span))
-    n = df.count()
-    if n > 2 * most:
-        df = df.where(h < F.lit(int(span * 1.5 * most / n)))
-    return df.orderBy(h, *key).limit(most)
+    h = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(span))
+    n = df.agg(F.approx_count_distinct(key)).first()[0]
+    cut = span if n <= 2 * most else int(span * 1.5 * most / n)
+    while True:
+        rows = df.where(h < F.lit(cut)).groupBy(key).agg(*(F.first(c).alias(c) for c in df.columns if c != key)).orderBy(h, key).limit(most).collect()
+        if len(rows) >= most or cut >= span:
+            return rows
+        cut = min(span, 4 * cut)

@@ -38,12 +38,18 @@ def path(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
-def decided(df: DataFrame, rules=RULES) -> DataFrame:
-    """Adds rule (host and path of the longest rule that fits, else null) and ruled (its verdict)."""
+def matched(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
+    """Host and path of the longest rule that fits, else null, and its verdict."""
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
     for what, h, p in sorted(rules, key=lambda r: len(r[1]) + len(r[2])):
-        fits = ((F.col("host") == h) | F.col("host").endswith("." + h)) & F.col("path").startswith(p)
+        fits = ((host == h) | host.endswith("." + h)) & path.startswith(p)
         rule, verdict = F.when(fits, F.lit(h + p)).otherwise(rule), F.when(fits, F.lit(what)).otherwise(verdict)
+    return rule, verdict
+
+
+def decided(df: DataFrame, rules=RULES) -> DataFrame:
+    """df (host, path) with rule and ruled, its verdict."""
+    rule, verdict = matched(F.col("host"), F.col("path"), rules)
     return df.withColumns({"rule": rule, "ruled": verdict})
 
 
@@ -160,23 +166,28 @@ class UrlModel:
 
 
 def fit(labelled: DataFrame, max_rows: int = MAX_LABELLED) -> UrlModel:
-    """labelled: (url, host, path, ruled). The sample is the first max_rows urls in hash order."""
+    """labelled: (url, host, path, ruled). The sample is the first max_rows distinct urls in hash order."""
     picked = labelled.select("url", "host", "path", F.expr("int(ruled = 'block')").alias("y"))
-    return UrlModel([(r.url, r.host, r.path, r.y) for r in common.sampled(picked, max_rows, ["url"], 42).collect()])
+    return UrlModel([(r.url, r.host, r.path, r.y) for r in common.sampled(picked, max_rows, "url", 42)])
 
 
 def filtered(pages: DataFrame, rules=RULES, max_rows: int = MAX_LABELLED) -> DataFrame:
-    """pages with host, path, rule, block_probability and verdict; other columns are kept."""
-    df = decided(pages.withColumns({"host": host(F.col("url")), "path": path(F.col("url"))}), rules)
-    model = fit(df.where("ruled is not null"), max_rows)
+    """pages with a struct `url_filter` of host, path, rule, block_probability and verdict; all other columns stay as they are."""
+    parts = decided(pages.select("url").withColumns({"host": host(F.col("url")), "path": path(F.col("url"))}), rules)
+    model = fit(parts.where("ruled is not null"), max_rows)
 
     @F.pandas_udf("double")
     def judge(u: pd.Series, h: pd.Series, p: pd.Series) -> pd.Series:
         return pd.Series(model.probability([x if isinstance(x, str) else None for x in u], list(h), list(p)))
 
-    df = df.withColumn("block_probability", judge("url", "host", "path"))
-    return df.withColumn("verdict", F.coalesce("ruled", F.when(F.col("block_probability") >= 0.5, "block").otherwise("allow"))).drop("ruled")
+    h, p = host(F.col("url")), path(F.col("url"))
+    rule, ruled = matched(h, p, rules)
+    df = pages.withColumn("url_filter", F.struct(h.alias("host"), p.alias("path"), rule.alias("rule"), ruled.alias("ruled"), judge("url", h, p).alias("block_probability")))
+    at = F.col("url_filter")
+    verdict = F.coalesce(at["ruled"], F.when(at["block_probability"] >= 0.5, "block").otherwise("allow"))
+    return df.withColumn("url_filter", F.struct(*(at[k].alias(k) for k in ("host", "path", "rule", "block_probability")), verdict.alias("verdict")))
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filtered(common.table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict", F.round("block_probability", 6).alias("block_probability"))
+    found = filtered(common.table(spark, sf_dir, "pages").select("page_id", "url"))
+    return found.selectExpr("page_id", *(f"url_filter.{k}" for k in ("host", "path", "rule", "verdict")), "round(url_filter.block_probability, 6) as block_probability")
