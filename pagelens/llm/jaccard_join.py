@@ -140,8 +140,11 @@ def leaves(reps: DataFrame, leaf: int = LEAF, depth: int = DEPTH, recall: float
     found = None
     for level in range(1, depth + 1):
         members = _children(nodes)
-        sizes = members.groupBy("path").agg(F.count("*").alias("size")).where("size > 1")
-        here = common.written(members.select("rep_id", "path").join(sizes, "path"), "nodes")
+        sizes = common.written(members.groupBy("path").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+        total = sizes.agg(F.sum("size")).first()[0] or 0
+        # A node may hold a very common passage: its rows stay where they are.
+        here = common.written(common.by_heavy(members.select("rep_id", "path"), sizes, "path", "size", total), "nodes")
+        common.remove(spark, sizes)
         done = here if level == depth else here.where(F.col("size") <= leaf)
         found = done if found is None else found.unionByName(done)
         large = here.where(F.col("size") > leaf)
@@ -332,28 +335,34 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["rep_id", "root_id", "links"])
 
 
-def components(edges: DataFrame, limit: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Smallest id in each connected component of the edges (x, y): id, top. Written out in each round.
 
     Rounds alternate: every node's larger neighbours, then its smaller ones, move to the smallest
-    node near it, until only stars are left; the number of edges never grows.
+    node near it, until only stars are left, which takes a number of rounds that grows with the
+    logarithm of the nodes; the number of edges never grows. The edges of hubs stay where they are.
     """
+    spark = edges.sparkSession
     both = lambda df: df.select("x", "y").union(df.select(F.col("y").alias("x"), F.col("x").alias("y")))
-    lowest = lambda df: df.join(df.groupBy("x").agg(F.least("x", F.min("y")).alias("m")), "x")  # noqa: E731  no window: a hub is pre-aggregated
-    edges = common.written(edges.where("x <> y").selectExpr("greatest(x, y) as x", "least(x, y) as y").distinct(), "edges")
-    seen = None
-    for _ in range(limit):
-        large = lowest(both(edges)).where("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")).distinct()
-        small = lowest(large)
-        small = small.select(F.col("y").alias("x"), F.col("m").alias("y")).union(small.select("x", F.col("m").alias("y"))).where("x <> y").distinct()
+
+    def lowest(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+        near = common.written(df.groupBy("x").agg(F.least("x", F.min("y")).alias("m"), F.count("*").alias("n")), "near")
+        total = near.agg(F.sum("n")).first()[0] or 0
+        return common.by_heavy(df, near, "x", "n", total), near
+
+    edges, seen = common.written(edges.where("x <> y").selectExpr("greatest(x, y) as x", "least(x, y) as y").distinct(), "edges"), None
+    while True:
+        moved, near = lowest(both(edges))
+        large = common.written(moved.where("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")).distinct(), "edges")
+        moved, close = lowest(large)
+        small = moved.select(F.col("y").alias("x"), F.col("m").alias("y")).union(moved.select("x", F.col("m").alias("y"))).where("x <> y").distinct()
         new = common.written(small, "edges")
         sign = new.agg(F.count("*"), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)"))).first()
-        old, edges = edges, new
-        common.remove(edges.sparkSession, old)
+        common.remove(spark, edges, near, large, close)
+        edges = new
         if sign == seen:
-            break
+            return edges.select(F.col("x").alias("id"), F.col("y").alias("top"))
         seen = sign
-    return edges.select(F.col("x").alias("id"), F.col("y").alias("top"))
 
 
 def possible(df: DataFrame, wanted: DataFrame, key: list[str], bits: int = 26) -> DataFrame:
@@ -392,6 +401,7 @@ def joined(docs: DataFrame, leaf: int = LEAF, depth: int = DEPTH, recall: float
     texts = possible(texts, wanted, ["rep_id", "th"]).join(wanted, ["rep_id", "th"]).dropDuplicates(["rep_id"]).drop("th")
     checked = active.join(texts, "rep_id").repartition(*key).sortWithinPartitions(*key, "rep_id").select(*key, "side", "rep_id", "sig8", "paths", "copies", "text")
     rows = common.written(checked.mapInArrow(_verified, "rep_id long, root_id long, links long"), "links")
+    common.remove(docs.sparkSession, found, known, active)
     tops = components(rows.select(F.col("rep_id").alias("x"), F.col("root_id").alias("y")))
     per_rep = rows.groupBy("rep_id").agg(F.sum("links").alias("links")).join(tops.withColumnRenamed("id", "rep_id"), "rep_id", "left")
     per_rep = reps.select("fp", "rep_id", "copies").join(per_rep, "rep_id", "left")
