@@ -1,10 +1,12 @@
 """Exact top-k inner-product search by MaxScore over sharded vectors.
 
-Every dimension of a query is a term; its posting list in a shard holds the vectors to which
-it adds a positive amount. Bounds on what a term can add split the terms into essential and
-non-essential ones: a vector in no essential posting list cannot reach the k-th best score, so
-only essential postings are traversed, and the other terms are probed block by block for the
-vectors that are still competitive. Shards yield their own top k, which are then merged.
+Every dimension and sign is a term; its posting list in a shard holds, in id order, the vectors
+with such a component. Bounds on what a query's terms can add within a block of rows split them
+into essential and non-essential ones: a vector in no essential posting list cannot reach the
+k-th best score, so only essential postings are traversed, and the other terms are probed for the
+vectors that are still competitive; a block whose terms together stay below is passed over.
+Postings are built once for each shard and block of queries. Shards yield their own top k, which
+are then merged.
 
 Defined results: vectors that are null or hold null, NaN or infinite components take no part;
 an empty vector scores 0; shorter vectors count as padded with zeros; rows that repeat a
@@ -30,34 +32,66 @@ def scaled(vector: Column, scale: int = 1024) -> Column:
     return F.when(vector.isNotNull() & fine, F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("long")))
 
 
-def maxscore(ids: np.ndarray, x: np.ndarray, query_id: int, q: np.ndarray, k: int, chunk: int = 1024) -> tuple[np.ndarray, np.ndarray]:
-    """The k best rows of x (ordered by id) for q: their positions and scores."""
-    most = np.maximum(q * x.max(axis=0), q * x.min(axis=0))
-    order = np.argsort(most, kind="stable")  # least useful term first
-    reach = np.cumsum(most[order])  # what the first i + 1 terms can add together
+class Postings:
+    """The rows of a shard by dimension and sign: positions in order and values, with what each chunk of rows can add at most."""
+
+    def __init__(self, x: np.ndarray, chunk: int = 1024):
+        self.x, self.chunk, self.starts = x, chunk, np.arange(0, len(x) + chunk, chunk)
+        self.lists, blocks = [], range(0, len(x), chunk)
+        for sign in (1, -1):
+            for j in range(x.shape[1]):
+                rows = np.flatnonzero(sign * x[:, j] > 0)
+                self.lists.append((rows, x[rows, j], np.searchsorted(rows, self.starts)))
+        self.high, self.low = (np.stack([f(x[i : i + chunk], axis=0) for i in blocks]) if len(x) else np.zeros((0, x.shape[1]), x.dtype) for f in (np.max, np.min))
+
+    def of(self, j: int, q, block: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of a block, counted from its start, to which dimension j of a query adds a positive amount, and their values."""
+        rows, values, at = self.lists[j if q > 0 else self.x.shape[1] + j]
+        part = slice(at[block], at[block + 1])
+        return rows[part] - self.starts[block], values[part]
+
+
+def maxscore(ids: np.ndarray, postings: Postings, query_id: int, q: np.ndarray, k: int, work: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The k best rows (ordered by id) for q: their positions and scores. work counts postings read, rows scored and blocks passed over."""
+    x, n = postings.x, len(postings.x)
     best, at = np.empty(0, x.dtype), np.empty(0, np.int64)
-    for start in range(0, len(x), chunk):
-        own = np.flatnonzero(ids[start : start + chunk] != query_id) + start
+    work = {} if work is None else work
+    for block, start in enumerate(range(0, n, postings.chunk)):
+        size = min(postings.chunk, n - start)
+        most = np.maximum(0, np.maximum(q * postings.high[block], q * postings.low[block]))
+        order = np.argsort(most, kind="stable")  # least useful term first
+        reach = np.cumsum(most[order])  # what the first i + 1 terms can add together
         full = len(best) >= k
         bar = best[k - 1] if full else None
-        cut = int(np.searchsorted(np.maximum.accumulate(reach), bar, side="left")) if full else 0
-        # order[:cut] is non-essential: together these terms stay below the k-th best score.
-        if cut >= len(order):
+        if full and reach[-1] < bar:
+            work["passed"] = work.get("passed", 0) + 1
             continue
-        part = x[own][:, order[cut:]] * q[order[cut:]]
-        if full and (cut or bar > 0):  # else a row in no posting list, at 0 or below, can still beat a negative bar
-            listed = (part > 0).any(axis=1)
-            own, part = own[listed], part[listed]
-        score = part.sum(axis=1)
+        # order[:cut] is non-essential: together these terms stay below the k-th best score.
+        cut = int(np.searchsorted(reach, bar, side="left")) if full else 0
+        listed, plus = np.zeros(size, bool), np.zeros(size, x.dtype)
+        for j in order[cut:].tolist():
+            if q[j] and most[j]:
+                rows, values = postings.of(j, q[j], block)
+                plus[rows] += values * q[j]
+                listed[rows] = True
+                work["postings"] = work.get("postings", 0) + len(rows)
+        if not full or not (cut or bar > 0):
+            listed[:] = True  # a row in no posting list, at 0 or below, can still be among the best
+        listed &= ids[start : start + size] != query_id
+        own = np.flatnonzero(listed)
+        if full and cut:
+            own = own[plus[own] + reach[cut - 1] >= bar]
+        essential = order[cut:]
+        score = x[own + start][:, essential] @ q[essential]  # with what these terms take away
         for hi in range(cut, 0, -8):  # probe the most promising of the rest first
             lo = max(0, hi - 8)
-            if full:
-                alive = score + reach[hi - 1] >= bar
-                own, score = own[alive], score[alive]
+            alive = score + reach[hi - 1] >= bar
+            own, score = own[alive], score[alive]
             if not len(own):
                 break
-            score = score + x[np.ix_(own, order[lo:hi])] @ q[order[lo:hi]]
-        best, at = np.concatenate([best, score]), np.concatenate([at, own])
+            score = score + x[np.ix_(own + start, order[lo:hi])] @ q[order[lo:hi]]
+        work["scored"] = work.get("scored", 0) + len(own)
+        best, at = np.concatenate([best, score]), np.concatenate([at, own + start])
         top = np.lexsort((ids[at], -best))[:k]
         best, at = best[top], at[top]
     return at, best
@@ -85,8 +119,9 @@ def _searcher(k: int):
             d, q = x[docs], x[asked]
             if float(np.abs(d).max()) * float(np.abs(q).max()) * width < 2**52:  # sums stay exact in doubles
                 d, q = d.astype(np.float64), q.astype(np.float64)
+            postings = Postings(d)
             for i, row in zip(asked, q, strict=True):
-                at, score = maxscore(ids[docs], d, ids[i], row, k)
+                at, score = maxscore(ids[docs], postings, ids[i], row, k)
                 found[0].append(np.full(len(at), ids[i], np.int64))
                 found[1].append(ids[docs][at])
                 found[2].append(score.astype(np.int64))
@@ -96,7 +131,7 @@ def _searcher(k: int):
     return search
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, shard_rows: int = 16384, block_rows: int = 4096) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, shard_rows: int = 32768, block_rows: int = 8192) -> DataFrame:
     """vectors, queries: (vec_id long, ints array<long>). Returns query_id, rank, vec_id, score.
 
     Both sides meet per (shard of vectors, block of queries): a group holds at most about
