@@ -63,6 +63,25 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+def likelihood(params: np.ndarray, y: np.ndarray, row: np.ndarray, feature: np.ndarray, n_features: int, k: int) -> tuple[float, np.ndarray]:
+    """Mean negative log-likelihood and its gradient. params: weights, first threshold, logarithms of the gaps to the next ones.
+
+    row, feature: which features each row has.
+    """
+    n = len(y)
+    w, first, gaps = params[:n_features], params[n_features], params[n_features + 1 :]
+    cuts = first + np.concatenate([[0], np.cumsum(np.exp(gaps))])
+    s = np.bincount(row, w[feature], n)
+    upper = np.where(y < k, sigmoid(cuts[np.minimum(y, k - 1)] - s), 1.0)
+    lower = np.where(y > 0, sigmoid(cuts[np.maximum(y - 1, 0)] - s), 0.0)
+    p = np.maximum(upper - lower, 1e-9)
+    du, dl = upper * (1 - upper) / p, lower * (1 - lower) / p  # of log p, by each cut
+    gw = np.bincount(feature, (du - dl)[row], n_features) / n
+    gc = np.array([-(du[y == j].sum() - dl[y == j + 1].sum()) / n for j in range(k)])
+    gg = np.array([gc[j + 1 :].sum() for j in range(k - 1)]) * np.exp(gaps)
+    return -float(np.log(p).mean()), np.concatenate([gw, [gc.sum()], gg])
+
+
 class CumulativeLink:
     """P(grade <= k) = sigmoid(thresholds[k] - s), with s the sum of the features' weights."""
 
@@ -90,17 +109,8 @@ class CumulativeLink:
         params = np.concatenate([w, [first], gaps])
         m, v = np.zeros_like(params), np.zeros_like(params)
         for t in range(1, rounds + 1):
-            w, first, gaps = params[: len(ids)], params[len(ids)], params[len(ids) + 1 :]
-            cuts = first + np.concatenate([[0], np.cumsum(np.exp(gaps))])
-            s = np.bincount(row, w[local], n)
-            upper = np.where(y < k, sigmoid(cuts[np.minimum(y, k - 1)] - s), 1.0)
-            lower = np.where(y > 0, sigmoid(cuts[np.maximum(y - 1, 0)] - s), 0.0)
-            p = np.maximum(upper - lower, 1e-9)
-            du, dl = upper * (1 - upper) / p, lower * (1 - lower) / p  # of log p, by each cut
-            gw = np.bincount(local, (du - dl)[row], len(ids)) / n + ridge * w
-            gc = np.array([-(du[y == j].sum() - dl[y == j + 1].sum()) / n for j in range(k)])
-            gg = np.array([gc[j + 1 :].sum() for j in range(k - 1)]) * np.exp(gaps)
-            g = np.concatenate([gw, [gc.sum()], gg])
+            _, g = likelihood(params, y, row, local, len(ids), k)
+            g[: len(ids)] += ridge * params[: len(ids)]
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             params = params - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         self.weights[ids] = params[: len(ids)]

@@ -116,6 +116,46 @@ def test_components(spark):
     assert got == want
 
 
+def test_components_of_a_path(spark):
+    """10,000 nodes in a row, in shuffled names: as far apart as nodes can be."""
+    names = list(range(10_000))
+    random.Random(3).shuffle(names)
+    edges = spark.createDataFrame(list(zip(names, names[1:], strict=False)), "x long, y long")
+    assert J.components(edges).agg(F.count("*"), F.max("top")).first() == (9999, 0)
+
+
+def test_frequent_keys_stay_in_place(spark):
+    rows = spark.range(5000).selectExpr("if(id % 3 = 0, 0, id) as k", "id as v")
+    per_key = rows.groupBy("k").agg(F.count("*").alias("n"), F.max("v").alias("top"))
+    want = {(r.k, r.v, r.top) for r in rows.join(per_key, "k").collect()}
+    got = J.common.by_heavy(rows, per_key.where("k <> 7"), "k", "n", 5000)
+    assert {(r.k, r.v, r.top) for r in got.collect()} == {x for x in want if x[0] != 7}
+
+
+def test_recall_on_documents(spark):
+    """All links of the documents at sf0.01, found by comparing all pairs that share a 5-gram."""
+    docs = J.common.table(spark, "/root/testdata/sf0.01", "documents")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    sets = {i: set(J.shingles(t).tolist()) for i, t in rows}
+    holders = {}
+    for i, x in sets.items():
+        for g in x:
+            holders.setdefault(g, []).append(i)
+    pairs = {}
+    for ids in holders.values():
+        for k, a in enumerate(ids):
+            for b in ids[k + 1 :]:
+                pairs[a, b] = pairs.get((a, b), 0) + 1
+    links = dict.fromkeys(sets, 0)
+    for (a, b), n in pairs.items():
+        if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n) - 1e-9:
+            links[a] += 1
+            links[b] += 1
+    got = {r.doc_id: r.n_links for r in J.joined(docs).collect()}
+    assert got.keys() == links.keys() and all(got[i] <= links[i] for i in got)
+    assert sum(got.values()) >= 0.999 * sum(links.values()) > 0
+
+
 def test_minhash_estimates():
     a, b = np.arange(1000, dtype=np.uint64), np.arange(100, 1100, dtype=np.uint64)
     a, b = J._final(a * J._MIX), J._final(b * J._MIX)

@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -38,18 +39,63 @@ def fuzz(n=300):
 def test_bpe_equals_library(library):
     for t in TRICKY + fuzz():
         want = library.encode(t or "", add_special_tokens=False).ids
-        ids, joined = byte_bpe.encode(t, byte_bpe.vocabulary_path())
-        assert ids == want and joined == ",".join(map(str, want)), t
+        ids = byte_bpe.encode(t, byte_bpe.vocabulary_path())
+        assert ids == want, t
         bpe = byte_bpe.codec(byte_bpe.vocabulary_path())[0]
         assert bpe.decode(ids) == library.decode(ids, skip_special_tokens=False)
         assert bpe.decode(ids[1:]) == library.decode(ids[1:], skip_special_tokens=False)
 
 
+def test_words_of_all_letters(library):
+    """Letters and numbers that only the pattern library knows, and one in 50 of all code points."""
+    plain, full = byte_bpe.patterns()
+    newer = [chr(c) for c in (0x558, 0x58B, 0xC5C, 0x208F, 0x11DE0, 0x32000) if not chr(c).isalnum()]
+    for ch in newer + [chr(c) for c in range(0, 0x110000, 50) if not 0xD800 <= c < 0xE000]:
+        t = f"a{ch}b {ch}1{ch} '{ch}  {ch}{ch}é"
+        assert full(t) == [t[i:j] for _, (i, j) in library.pre_tokenizer.pre_tokenize_str(t)], hex(ord(ch))
+        if t.isascii():
+            assert plain(t) == full(t)
+
+
 def test_bpe_store_is_only_a_store(library):
-    bpe = byte_bpe.codec(byte_bpe.vocabulary_path())[0]
-    small = byte_bpe.Pieces(lambda ps: [bpe.piece(p) for p in ps], list(bpe.special), limit=3)
-    for t in fuzz(40):
-        assert [i for p in small.of(t) for i in p] == library.encode(t, add_special_tokens=False).ids
+    bpe, _ = byte_bpe.codec(byte_bpe.vocabulary_path())
+    said = lambda ids: b"".join(b"%d," % i for i in ids)
+    small = byte_bpe.Pieces(lambda w: said(bpe.word(w.encode())), b"".join, {t: said([i]) for t, i in bpe.special.items()}, limit=3)
+    texts = fuzz(40) + ["a b a b", "x", ""]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    for t, ids in zip(texts, want, strict=True):
+        assert small.of(t) == said(ids)
+    values, index, ends = small.gathered(pa.array([*texts, None]))
+    data, at = byte_bpe.joined(values, index, ends)
+    assert [bytes(data[i:j]) for i, j in zip(at, at[1:], strict=False)] == [*map(said, want), b""]
+
+
+def test_remembered_is_bounded():
+    store, asked = byte_bpe.Remembered(8), []
+    for i in range(100):
+        assert store.all([str(i % 10), "hot"], lambda k: (asked.append(k), k + "!")[1]) == [f"{i % 10}!", "hot!"]
+        assert len(store.young) + len(store.old) <= 8
+    assert asked.count("hot") == 1
+
+
+def test_text_chunks():
+    texts = pa.array(["a" * n for n in (5, 5, 30, 1, 1, 1, 50)] + [None])
+    runs = list(byte_bpe.chunks(texts, 10))
+    assert [i for i, _ in runs] == [0, *(sum(n for _, n in runs[:k]) for k in range(1, len(runs)))] and sum(n for _, n in runs) == 8 and len(runs) > 2
+    assert list(byte_bpe.chunks(texts.slice(0, 0))) == []
+
+
+def test_other_vocabularies(tmp_path, spark):
+    """Files for which cutting is not known to be right are refused, or encoded as whole texts by the library."""
+    from tokenizers import Tokenizer
+
+    other = byte_bpe.vocabulary_path("word_bpe_49k.json")
+    with pytest.raises(ValueError):
+        byte_bpe.checked(other)
+    whole = token_files.Library(other)
+    flat, at = whole.ids(pa.array(["Some words, here", None]), b"\2\0\0\0")
+    ids = Tokenizer.from_file(other).encode("Some words, here", add_special_tokens=False).ids
+    assert flat.tolist() == [*ids, 2, 2] and at.tolist() == [0, len(ids) + 1, len(ids) + 2]
 
 
 def test_bpe_query(spark, library):
@@ -116,30 +162,48 @@ def test_top_k_is_exact(spark, tmp_path, kind):
     assert got == list(brute_top_k(rows))
 
 
-def test_top_k_skips_work(monkeypatch):
+def test_top_k_skips_work():
     rng = np.random.default_rng(1)
-    x = rng.normal(size=(4096, 16)) * np.array([100.0] + [0.01] * 15)
-    at, best = topk_search.maxscore(np.arange(4096), x, -1, np.ones(16), 10)
-    assert list(at) == list(np.lexsort((np.arange(4096), -x.sum(axis=1)))[:10])
+    x = np.zeros((8192, 64))
+    for i in range(8192):  # sparse and positive, as terms are; the best come first
+        x[i, rng.choice(64, 6, replace=False)] = rng.integers(1, 9, 6) * (20 if i < 50 else 1)
+    q, work = np.zeros(64), {}
+    q[:8] = [100, 30, 3, 2, 2, 1, 1, 1]
+    at, best = topk_search.maxscore(np.arange(8192), topk_search.Postings(x), -1, q, 10, work)
+    assert list(at) == list(np.lexsort((np.arange(8192), -(x @ q)))[:10])
+    everything = int((x[:, q > 0] > 0).sum())
+    assert work["postings"] < everything / 2 and work["scored"] < len(x) / 2, (work, everything)
+    x[4096:] /= 100
+    work = {}
+    at, best = topk_search.maxscore(np.arange(8192), topk_search.Postings(x), -1, q, 10, work)
+    assert work["passed"] >= 4 and list(at) == list(np.lexsort((np.arange(8192), -(x @ q)))[:10])
 
 
 def test_top_k_below_zero():
     x = np.random.default_rng(2).uniform(0.1, 1, size=(3000, 6))
-    at, best = topk_search.maxscore(np.arange(3000), x, -1, -np.ones(6), 10)
+    at, best = topk_search.maxscore(np.arange(3000), topk_search.Postings(x), -1, -np.ones(6), 10)
     assert list(at) == list(np.lexsort((np.arange(3000), x.sum(axis=1)))[:10])
 
 
+def test_top_k_of_nothing_and_of_repeated_ids(spark):
+    rows = spark.createDataFrame([(100, [3, 0]), (100, [1, 1]), (1, [5, -1]), (1, [5, -1]), (2, None), (3, [])], "vec_id long, ints array<bigint>").where("ints is not null")
+    got = [tuple(r) for r in topk_search.top_k(rows, rows.where("vec_id % 100 = 0")).orderBy("rank").collect()]
+    assert got == [(100, 1, 1, 4), (100, 2, 1, 4), (100, 3, 3, 0)]
+    assert topk_search.top_k(rows.where("false"), rows.where("false")).count() == 0
+
+
 def test_url_rules_and_trees(spark):
     urls = [None, "", "nothing", "http://WWW.Example.com/en/1?x#y", "http://example.com/en/", "https://a.b.net/es/x", "http://xnet/es/", "http://com/", "http://a.com", "http://A.ORG?x", "x://y.net/fr/z://b", "http://\n.net/fr/1"]
     want = [("", "", None), ("", "", None), ("", "", None), ("www.example.com", "/en/1", "www.example.com/en/"), ("example.com", "/en/", "example.com/en/"), ("a.b.net", "/es/x", "net/es/"),
             ("xnet", "/es/", None), ("com", "/", "com/"), ("a.com", "", None), ("a.org", "", None), ("y.net", "/fr/z://b", "net/fr/"), ("\n.net", "/fr/1", "net/fr/")]
-    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("h", F.lit(1))
-    out = url_filter.filtered(df).orderBy("page_id").collect()
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumns({k: F.lit(1) for k in ("h", "host", "path", "rule", "ruled", "verdict")})
+    out = url_filter.filtered(df).orderBy("page_id").select("url_filter.*").collect()
+    assert url_filter.filtered(df).columns == [*df.columns, "url_filter"]
     assert [(r.host, r.path, r.rule) for r in out] == want
     assert [r.verdict for r in out if r.rule] == ["allow", "block", "block", "allow", "block", "block"]
     assert {r.verdict for r in out} == {"allow", "block"}
     none = url_filter.filtered(df.where("page_id in (0, 6)")).collect()
-    assert {r.verdict for r in none} == {"allow"} and url_filter.filtered(df.where("false")).count() == 0
+    assert {r.url_filter.verdict for r in none} == {"allow"} and url_filter.filtered(df.where("false")).count() == 0
 
 
 def test_url_trees_generalise():
@@ -211,6 +275,52 @@ def test_secret_candidates_are_whole():
         assert not secret_scan.spans(text)[1]
 
 
+def wrap(x, width, end):
+    return end.join(x[i : i + width] for i in range(0, len(x), width))
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\n  ", "\\n", "\\r\\n", "\\\\n"])
+def test_secret_keys_over_several_lines(end):
+    import base64
+
+    rng = random.Random(4)
+    for size in (50, 60, 90, 150, 700):
+        pkcs8 = der(0x30, der(2, b"\0") + der(0x30, der(6, b"\x2a\x86\x48\x86\xf7\x0d\x01\x01\x01") + der(5, b"")) + der(4, rng.randbytes(size)))
+        locked = der(0x30, der(0x30, der(6, b"\x2a\x86\x48\x86\xf7\x0d\x01\x05\x0d") + der(0x30, b"")) + der(4, rng.randbytes(size)))
+        part = lambda b: len(b).to_bytes(4, "big") + b
+        ssh = b"openssh-key-v1\0" + part(b"none") + part(b"none") + part(b"") + b"\0\0\0\1" + part(rng.randbytes(51)) + part(rng.randbytes(size))
+        for key in (pkcs8, locked, ssh):
+            body = wrap(base64.b64encode(key).decode(), 64, end)
+            for before, after in (("é\n", f"{end}tail of it"), ("", ""), ("key: ", " x")):
+                if len(body) > 64:
+                    assert ("key64", len(before), len(before) + len(body)) in secret_scan.spans(before + body + after)[1], (size, before)
+            for name in ("PRIVATE KEY", "RSA PRIVATE KEY", "ENCRYPTED PRIVATE KEY", "OPENSSH PRIVATE KEY"):
+                text = f"-----BEGIN {name}-----{end}{body}{end}-----END {name}-----"
+                assert secret_scan.spans(f"é{text}")[1] == [("pem", 1, 1 + len(text))]
+        longer = wrap(base64.b64encode(pkcs8[:-1]).decode(), 64, end)
+        assert not [x for x in secret_scan.spans(longer)[1] if x[0] == "key64"]
+    headers = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF0123456789ABCDEF\n\n"
+    for n, fine in ((64, True), (65, False)):
+        text = (f"-----BEGIN RSA PRIVATE KEY-----\n{headers}" + wrap(base64.b64encode(rng.randbytes(n)).decode(), 64, "\n") + "\n-----END RSA PRIVATE KEY-----").replace("\n", end)
+        assert (("pem", 0, len(text)) in secret_scan.spans(text)[1]) == fine
+    lone = f"-----BEGIN PRIVATE KEY-----\nzzz {text} -----END PRIVATE KEY-----"
+    assert [x[0] for x in secret_scan.spans(lone.replace(text, "-----BEGIN PRIVATE KEY-----" + base64.b64encode(pkcs8).decode()))[1] if x[0] == "pem"] == ["pem"]
+
+
+def test_secret_scan_is_linear():
+    import time
+
+    def seconds(text):
+        start = time.process_time()
+        secret_scan.spans(text)
+        return time.process_time() - start
+
+    for unit in ("-----BEGIN RSA PRIVATE KEY-----\n", "-----BEGIN A PRIVATE KEY----------END B PRIVATE KEY-----", "eyJ", "eyJ9.", "a.", "AKIA", "token=", "M" + "I" * 62 + "\n"):
+        n = 1_500_000 // len(unit)
+        small, large = min(seconds(unit * (n // 4)) for _ in range(2)), min(seconds(unit * n) for _ in range(2))
+        assert large < 8 * small + 0.5, (unit, small, large)
+
+
 def brute_base(t):
     t = t or ""
     out = [("assign", m.start(), m.end()) for m in re.finditer(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t) if len(m[2]) >= 6]
@@ -248,3 +358,84 @@ def test_language_edges(spark):
     assert out[5].lang_pred in ("en", "fr") and out[5].rejected
     empty = language_id.fit(df.where("false"))
     assert {r.language.lang_pred for r in language_id.identified(df, empty).collect()} == {"und"}
+
+
+def test_language_of_any_letter(spark):
+    texts = ["\U00030000 \U00031350", "the cat and the dog", "le chat et le chien", "\u4f60\u597d", "\U0001f389 12"]
+    df = docs(spark, texts, [None, "en", "fr", None, None])
+    out = [r.language.lang_pred for r in language_id.identified(df, language_id.fit(df)).orderBy("doc_id").collect()]
+    assert out[0] in ("en", "fr") and out[3] in ("en", "fr") and out[4] == "und"
+
+
+def test_language_equals_brute_force(spark):
+    """Cosines with all centroids, one text and one n-gram at a time."""
+    df = common.table(spark, "/root/testdata/sf0.001", "documents").select("text", "lang")
+    model = language_id.fit(df, per_language=40)
+    for r in language_id.identified(df, model).limit(60).collect():
+        g = language_id.grams(r.text)
+        v = {i: float(np.sqrt(n)) * float(model.idf[i]) for i, n in enumerate(g) if n}
+        size = sum(x * x for x in v.values()) ** 0.5
+        close = [sum(x * float(c[i]) for i, x in v.items()) / size for c in model.centres]
+        assert abs(r.language.score - min(1, max(0, max(close)))) < 1e-4 and close[max(j for j, x in enumerate(model.langs) if x == r.language.lang_pred)] <= max(close)
+        assert max(close) - max(c for c, x in zip(close, model.langs, strict=True) if x == r.language.lang_pred) < 1e-5
+
+
+def test_language_sample_is_the_first_in_hash_order(spark, monkeypatch):
+    rows = [(f"text {'abcdefghij'[i % 10]} {i}", "en" if i % 5 else "fr") for i in range(3000)] * 2 + [("hot text", "en")] * 4000
+    seen = {}
+    monkeypatch.setattr(language_id, "Centroids", lambda texts, langs: seen.update(texts=texts, langs=langs))
+    df = spark.createDataFrame(rows, "text string, lang string")
+    language_id.fit(df, per_language=50)
+    hashed = df.distinct().withColumn("h", F.expr("shiftrightunsigned(xxhash64(text), 11)")).collect()
+    want = {lang: {r.text for r in sorted((r for r in hashed if r.lang == lang), key=lambda r: r.h)[:50]} for lang in ("en", "fr")}
+    got = {lang: {t for t, x in zip(seen["texts"], seen["langs"], strict=True) if x == lang} for lang in ("en", "fr")}
+    assert got == want
+
+
+def test_url_sample_with_one_hot_url(spark):
+    df = spark.range(100_000).selectExpr("if(id % 50 = 0, concat('http://a.net/es/', id), 'http://hot.net/fr/') as url", "1 as y")
+    rows = common.sampled(df, 1000, "url", 42)
+    order = df.distinct().selectExpr("url", f"pmod(xxhash64(url, 42), {1 << 40}) as h").orderBy("h", "url").limit(1000).collect()
+    assert [r.url for r in rows] == [r.url for r in order]
+    assert len(common.sampled(df, 5000, "url", 42)) == 2001
+
+
+def test_url_query_equals_brute_force(spark):
+    sf = "/root/testdata/sf0.01"
+    got = {r.page_id: r for r in url_filter.op2_url_filter(spark, sf).collect()}
+    pages = common.table(spark, sf, "pages").selectExpr("page_id", "url", f"pmod(xxhash64(url, 42), {1 << 40}) as h").collect()
+
+    def judged(url):
+        rest = url.split("://", 1)[1] if url and "://" in url else ""
+        m = re.match(r"([^/?#]*)([^?#]*)", rest)
+        h, p = "".join(c.lower() if c.isascii() else c for c in m[1]), m[2]
+        fits = [(len(a + b), a + b, v) for v, a, b in url_filter.RULES if (h == a or h.endswith("." + a)) and p.startswith(b)]
+        return h, p, *(max(fits)[1:] if fits else (None, None))
+
+    of = {r.page_id: judged(r.url) for r in pages}
+    train = sorted({(r.h, r.url, *of[r.page_id]) for r in pages if of[r.page_id][3]})[: url_filter.MAX_LABELLED]
+    model = url_filter.UrlModel([(url, h, p, int(v == "block")) for _, url, h, p, _, v in train])
+    for r in pages:
+        h, p, rule, verdict = of[r.page_id]
+        chance = float(model.probability([r.url], [h], [p])[0])
+        x = got[r.page_id]
+        assert (x.host, x.path, x.rule) == (h, p, rule) and abs(x.block_probability - chance) < 1e-5
+        assert x.verdict == (verdict or ("block" if chance >= 0.5 else "allow"))
+
+
+def test_operators_of_empty_tables(spark):
+    none = docs(spark, ["a"]).where("false")
+    assert secret_scan.scan(none).count() == byte_bpe.digests(none).count() == 0
+
+
+def test_repeated_and_null_ids_in_token_files(spark, tmp_path):
+    rows = [(5, "b c"), (None, "x"), (5, "a"), (5, "a"), (1, None)]
+    token_files.write(spark.createDataFrame(rows, "doc_id long, text string"), f"file://{tmp_path}/t", files=2)
+    got = token_files.read(spark, f"file://{tmp_path}/t").orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None, 1, 5, 5, 5] and got[2].tokens == got[3].tokens != got[4].tokens
+    assert [r.start for r in got] == [sum(r.n_tokens for r in got[:k]) for k in range(5)]
+
+
+def test_repeated_rows_and_clashing_names(spark):
+    df = docs(spark, ["secret=abcdefg", "secret=abcdefg"]).withColumns({"bpe": F.lit(1), "secrets": F.lit(2)})
+    assert len({str(r.bpe) for r in byte_bpe.digests(df).collect()}) == len({str(r.secrets) for r in secret_scan.scan(df).collect()}) == 1
