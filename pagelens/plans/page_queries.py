@@ -22,27 +22,51 @@ def add(name: str, query, oracle: str | None = None) -> None:
         ORACLES[name] = oracle
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its files give fewer partitions than that, as work on a page outweighs moving it; else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole pages table, and the literal pages that take the branches it lacks."""
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html").unionByName(X.html(spark))
+    return spread(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html").unionByName(X.html(spark).coalesce(1)))
+
+
+_KEPT: dict[tuple[str, str], tuple[object, DataFrame]] = {}
 
 
-_KEPT: dict[tuple[str, str, str], DataFrame] = {}
+def signature(spark: SparkSession, sf_dir: str) -> tuple:
+    """Names, sizes and times of the files below a folder: changes when its tables do."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/pages.parquet")
+    fs, found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), []
+    files = fs.listFiles(where, True)
+    while files.hasNext():
+        f = files.next()
+        found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return (spark.sparkContext.applicationId, *sorted(found))
 
 
 def kept(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
-    """A table that many queries start from (page records, profiles, keywords), persisted once for each session and input.
+    """A table that many queries start from (outcomes, profiles, keywords), persisted for the session.
 
-    It spills to disk and is recomputed where an executor is lost; html itself is not in it.
+    It spills to disk and is recomputed where an executor is lost. Of each name only the last input's
+    is kept, and none whose files have changed.
     """
-    key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _KEPT:
-        _KEPT[key] = make().persist()
-    return _KEPT[key]
+    at, now = (sf_dir, name), signature(spark, sf_dir)
+    for key in [k for k, (seen, _) in _KEPT.items() if (k[1] == name and k != at) or (k == at and seen != now)]:
+        seen, old = _KEPT.pop(key)
+        if seen[0] == now[0]:  # else its session is gone
+            old.unpersist()
+    if at not in _KEPT:
+        _KEPT[at] = (now, make().persist())
+    return _KEPT[at][1]
 
 
 def records(spark: SparkSession, sf_dir: str, mode: str = "html") -> DataFrame:
-    return kept(spark, sf_dir, mode, lambda: html.extract(pages(spark, sf_dir), mode))
+    """Not kept: a query computes only the columns that it asks for."""
+    return html.extract(pages(spark, sf_dir), mode)
 
 
 def record(name: str, columns, select: str, mode: str = "html", rest: str = "rec") -> None:
