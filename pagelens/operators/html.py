@@ -3,7 +3,8 @@
 Elements are found by regular expressions in document order; nothing explodes, so a page never
 leaves its row and the raw html is dropped by the last projection. mode="dom" adds the counters
 that a live document would give (empty and generic anchors, invalid JSON-LD, element count,
-microdata types), approximated from the source.
+microdata types), approximated from the source, and follows its rules: no limits on headings and
+links, named meta tags before those with a property, schemes compared as written.
 """
 
 from __future__ import annotations
@@ -32,9 +33,11 @@ def bags(clean: Column, tag: str) -> Column:
     return F.transform(every(clean, f"(?is)<{tag}{T.EDGE}([^>]*)>"), T.attributes)
 
 
-def meta(metas: Column, key: str) -> Column:
+def meta(metas: Column, key: str, dom: bool = False) -> Column:
+    """Content of the first tag of that name or property; in a live document names come before properties."""
     named = lambda b, a: F.coalesce(F.lower(T.attribute(b, a)) == key, F.lit(False))
-    hit = F.get(F.filter(metas, lambda b: named(b, "name") | named(b, "property")), F.lit(0))
+    first = lambda test: F.get(F.filter(metas, test), F.lit(0))
+    hit = F.coalesce(first(lambda b: named(b, "name")), first(lambda b: named(b, "property"))) if dom else first(lambda b: named(b, "name") | named(b, "property"))
     return F.coalesce(T.attribute(hit, "content"), F.lit(""))
 
 
@@ -43,12 +46,13 @@ def link_rel(links: Column, rel: str) -> Column:
     return F.coalesce(T.attribute(F.get(F.filter(links, has), F.lit(0)), "href"), F.lit(""))
 
 
-def headings(clean: Column) -> Column:
-    """(level, text), of headings with text, up to a fixed number."""
+def headings(clean: Column, dom: bool = False) -> Column:
+    """(level, text), of headings with text, up to a fixed number unless the document is a live one."""
     pattern = f"(?is)<h([1-6]){T.EDGE}[^>]*>(.*?)</h\\1{L.BLANK}*>"
     levels, inner = every(clean, pattern, 1), every(clean, pattern, 2)
     found = F.transform(levels, lambda lv, i: F.struct(lv.cast("int").alias("level"), F.left(T.strip_tags(F.get(inner, i)), F.lit(L.MAX_HEADING)).alias("text")))
-    return F.slice(F.filter(found, lambda h: h["text"] != ""), 1, L.MAX_HEADINGS)
+    found = F.filter(found, lambda h: h["text"] != "")
+    return found if dom else F.slice(found, 1, L.MAX_HEADINGS)
 
 
 def images(bag: Column) -> Column:
@@ -62,10 +66,10 @@ def images(bag: Column) -> Column:
 
 def base_of(url: Column) -> Column:
     """What relative addresses on a page resolve against: computed once for each page."""
-    return F.struct(U.protocol(url).alias("protocol"), U.origin(url).alias("origin"), U.hostname(url).alias("hostname"), F.regexp_replace(U.pathname(url), "[^/]*$", "").alias("folder"))
+    return F.struct(U.protocol(url).alias("protocol"), U.origin(url).alias("origin"), U.hostname(url).alias("hostname"), U.pathname(url).alias("path"), F.regexp_replace(U.pathname(url), "[^/]*$", "").alias("folder"))
 
 
-def anchors(clean: Column, base: Column) -> Column:
+def anchors(clean: Column, base: Column, dom: bool = False) -> Column:
     """(label, host, internal, nofollow, image) of each http(s) link, in order, up to the label limit."""
     pattern = f"(?is)<a{T.EDGE}([^>]*)>(.*?)</a{L.BLANK}*>"
     tags, inner = every(clean, pattern, 1), every(clean, pattern, 2)
@@ -75,7 +79,7 @@ def anchors(clean: Column, base: Column) -> Column:
 
     def described(x: Column) -> Column:
         href = F.coalesce(T.attribute(x["b"], "href"), F.lit(""))
-        host = F.when(~((href == "") | href.startswith("#") | href.rlike("(?i)^(javascript|mailto|tel):")), F.nullif(U.hostname(U.resolved_at(href, base)), F.lit("")))
+        host = F.when(~((href == "") | href.startswith("#") | href.rlike(("" if dom else "(?i)") + "^(javascript|mailto|tel):")), F.nullif(U.hostname(U.resolved_at(href, base)), F.lit("")))
         return F.struct(
             T.strip_tags(x["inner"]).alias("label"), host.alias("host"), (host == base["hostname"]).alias("internal"),
             F.contains(F.lower(F.coalesce(T.attribute(x["b"], "rel"), F.lit(""))), F.lit("nofollow")).alias("nofollow"), F.rlike(x["inner"], F.lit(r"(?is)<img\b[^>]*\balt\s*=")).alias("image"),
@@ -121,11 +125,12 @@ def extract(pages: DataFrame, mode: str = "html") -> DataFrame:
     df = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     df = df.withColumns({"clean": T.strip_non_content(F.col("html")), "base": base_of(F.col("url"))})
     df = df.select(
-        "*", bags(F.col("clean"), "meta").alias("metas"), bags(F.col("clean"), "link").alias("rels"), bags(F.col("clean"), "img").alias("imgs"), anchors(F.col("clean"), F.col("base")).alias("anchors"),
-        headings(F.col("clean")).alias("headings"), title(F.col("clean")).alias("title"), body_text(F.col("clean")).alias("body"), json_ld_types(F.col("html")).alias("schema_types"),
+        "*", bags(F.col("clean"), "meta").alias("metas"), bags(F.col("clean"), "link").alias("rels"), bags(F.col("clean"), "img").alias("imgs"), anchors(F.col("clean"), F.col("base"), dom).alias("anchors"),
+        headings(F.col("clean"), dom).alias("headings"), title(F.col("clean")).alias("title"), body_text(F.col("clean")).alias("body"), json_ld_types(F.col("html")).alias("schema_types"),
     )
     at = F.filter(F.transform("anchors", lambda a, i: F.when(a["label"] != "", i)), lambda i: i.isNotNull())  # links after the last label that counts are not read
-    df = df.withColumn("anchors", F.slice("anchors", 1, F.coalesce(F.get(at, F.lit(L.MAX_LABELS - 1)) + 1, F.size("anchors"))))
+    if not dom:
+        df = df.withColumn("anchors", F.slice("anchors", 1, F.coalesce(F.get(at, F.lit(L.MAX_LABELS - 1)) + 1, F.size("anchors"))))
     labels = F.filter(F.transform("anchors", lambda a: a["label"]), lambda x: x != "")
     at_level = lambda k: F.transform(F.filter("headings", lambda h: h["level"] == k), lambda h: h["text"])
     by_level = lambda *lv: F.flatten(F.array(*map(at_level, lv)))
@@ -133,17 +138,17 @@ def extract(pages: DataFrame, mode: str = "html") -> DataFrame:
     zero = F.lit(0)
     blocks = every(F.col("html"), LD_JSON)
     alts = F.filter(F.transform("imgs", lambda b: T.attribute(b, "alt")), lambda x: x.isNotNull() & (x != ""))
-    og = F.struct(*(meta(metas, f"og:{k}").alias(k) for k in ("title", "description", "image", "type", "url")))
+    og = F.struct(*(meta(metas, f"og:{k}", dom).alias(k) for k in ("title", "description", "image", "type", "url")))
     types = F.col("schema_types")
     if dom:
         micro = F.transform(every(F.col("clean"), r"""(?is)itemtype\s*=\s*["']([^"']+)["']"""), lambda t: F.try_element_at(F.filter(F.split(t, "/"), lambda x: x != ""), F.lit(-1)))
         types = F.array_distinct(F.concat(types, F.filter(micro, lambda t: t.isNotNull())))
     return df.select(
         "page_id", "url", "base.origin", "base.hostname", U.pathname(F.col("url")).alias("pathname"), "base.protocol",
-        "title", meta(metas, "description").alias("meta_description"), meta(metas, "robots").alias("meta_robots"), link_rel(F.col("rels"), "canonical").alias("canonical"),
-        F.coalesce(T.attribute(T.attributes(F.regexp_extract("clean", f"(?is)<html{T.EDGE}([^>]*)>", 1)), "lang"), F.lit("")).alias("lang"), meta(metas, "viewport").alias("viewport"),
+        "title", meta(metas, "description", dom).alias("meta_description"), meta(metas, "robots", dom).alias("meta_robots"), link_rel(F.col("rels"), "canonical").alias("canonical"),
+        F.coalesce(T.attribute(T.attributes(F.regexp_extract("clean", f"(?is)<html{T.EDGE}([^>]*)>", 1)), "lang"), F.lit("")).alias("lang"), meta(metas, "viewport", dom).alias("viewport"),
         F.filter(F.transform("rels", lambda b: T.attribute(b, "hreflang")), lambda x: x.isNotNull() & (x != "")).alias("hreflang"),
-        og.alias("og"), F.struct(*(meta(metas, f"twitter:{k}").alias(k) for k in ("card", "title", "image"))).alias("twitter"), "headings",
+        og.alias("og"), F.struct(*(meta(metas, f"twitter:{k}", dom).alias(k) for k in ("card", "title", "image"))).alias("twitter"), "headings",
         F.size(F.filter("headings", lambda h: h["level"] == 1)).alias("h1_count"), images(F.col("imgs")).alias("images"),
         F.struct(
             count(lambda a: a["internal"]).alias("internal"), count(lambda a: ~a["internal"]).alias("external"), count(lambda a: a["nofollow"]).alias("nofollow"),
@@ -153,7 +158,7 @@ def extract(pages: DataFrame, mode: str = "html") -> DataFrame:
         types.alias("schema_types"), (F.size(F.filter(blocks, lambda b: F.try_parse_json(b).isNull())) if dom else zero).alias("invalid_json_ld"), word_count(F.col("body")).alias("word_count"),
         (F.size(every(F.col("html"), "<([a-zA-Z])")) if dom else zero).alias("dom_nodes"), T.js_length(F.col("html")).alias("html_bytes"),
         F.struct(
-            F.col("title").alias("title"), F.concat_ws(" ", meta(metas, "description"), meta(metas, "og:description")).alias("description"), F.array_join(by_level(1), ". ").alias("h1"),
+            F.col("title").alias("title"), F.concat_ws(" ", meta(metas, "description", dom), meta(metas, "og:description", dom)).alias("description"), F.array_join(by_level(1), ". ").alias("h1"),
             F.array_join(by_level(2), ". ").alias("h2"), F.array_join(by_level(3, 4), ". ").alias("h3"), F.array_join(F.transform(F.slice(labels, 1, 400), lambda x: F.left(x, F.lit(L.MAX_LABEL))), ". ").alias("anchor"),
             F.array_join(F.slice(alts, 1, 200), ". ").alias("alt"), F.col("body").alias("body"),
         ).alias("fields"),

@@ -65,7 +65,7 @@ def link_rel(rel: str) -> str:
     return f"coalesce({attr('(' + hit + ')', 'href')}, '')"
 
 
-HTTP = r"(?i)^(https?)://(?:[^/?#@]*@)?([^/?#:]+)(:[0-9]+)?([^?#]*)"
+HTTP = r"(?i)^(https?)://(?:[^/?#@]*@)?(\[[0-9a-f:.]+\]|[^/?#:\[\]]+)(:[0-9]+)?([^?#]*)"
 
 
 def part(u: str, i: int) -> str:
@@ -84,8 +84,16 @@ def port(u: str) -> str:
     return f"(CASE WHEN lower({part(u, 1)}) || {part(u, 3)} IN ('http:80', 'https:443') THEN '' ELSE {part(u, 3)} END)"
 
 
+def dotless(p: str) -> str:
+    """The path with its dot segments carried out, segment by segment from the left."""
+    dot, up = "regexp_matches({0}, '(?i)^(\\.|%2e)$')", "regexp_matches({0}, '(?i)^(\\.|%2e){{2}}$')"
+    step = f"CASE WHEN {up.format('x')} THEN regexp_replace(a, '/[^/]*$', '') WHEN {dot.format('x')} THEN a ELSE a || '/' || x END"
+    last = f"str_split({p}, '/')[-1]"
+    return f"(CASE WHEN regexp_matches({p}, '(?i)/(\\.|%2e){{1,2}}(/|$)') THEN list_reduce(str_split({p}, '/'), lambda a, x: {step}) || CASE WHEN {dot.format(last)} OR {up.format(last)} THEN '/' ELSE '' END ELSE {p} END)"
+
+
 def pathname(u: str) -> str:
-    return f"(CASE WHEN {part(u, 2)} = '' THEN '' WHEN {part(u, 4)} = '' THEN '/' ELSE {part(u, 4)} END)"
+    return f"(CASE WHEN {part(u, 2)} = '' THEN '' WHEN {part(u, 4)} = '' THEN '/' ELSE {dotless(part(u, 4))} END)"
 
 
 def origin(u: str) -> str:
@@ -95,7 +103,7 @@ def origin(u: str) -> str:
 def resolved(h: str, u: str) -> str:
     return (
         f"(CASE WHEN regexp_matches({h}, '(?i)^https?://') THEN {h} WHEN regexp_matches({h}, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL WHEN {h} LIKE '//%' THEN {protocol(u)} || {h} "
-        f"WHEN {h} LIKE '/%' THEN {origin(u)} || {h} ELSE {origin(u)} || regexp_replace({pathname(u)}, '[^/]*$', '') || {h} END)"
+        f"WHEN {h} LIKE '/%' THEN {origin(u)} || {h} WHEN {h} = '' OR {h} LIKE '?%' OR {h} LIKE '#%' THEN {origin(u)} || {pathname(u)} || {h} ELSE {origin(u)} || regexp_replace({pathname(u)}, '[^/]*$', '') || {h} END)"
     )
 
 

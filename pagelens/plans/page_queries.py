@@ -216,7 +216,26 @@ address("u5_protocol", U.protocol, D.protocol("raw"))
 address("u5_hostname", U.hostname, D.host("raw"))
 address("u5_pathname", U.pathname, D.pathname("raw"))
 address("u5_origin", U.origin, D.origin("raw"))
-address("u6_resolve", lambda r: U.resolved(r, F.lit("http://base.org/dir/page")), D.resolved("raw", "'http://base.org/dir/page'"))
+HREFS = [
+    ("http://base.org/dir/page?q", "", "http://base.org/dir/page"), ("http://base.org/dir/page?q", "?b=1", "http://base.org/dir/page?b=1"), ("http://base.org/dir/page", "#x", "http://base.org/dir/page#x"),
+    ("http://base.org/dir/page", "./y", "http://base.org/dir/y"), ("http://base.org/dir/page", "../x/y", "http://base.org/x/y"), ("http://base.org/dir/page", "../../../z?a=../b", "http://base.org/z?a=../b"),
+    ("http://base.org/dir/page", "/a/./b/../c/..", "http://base.org/a/"), ("http://base.org/dir/page", "a/%2E%2e/b/.", "http://base.org/dir/b/"), ("https://base.org:8443/dir/", "//cdn.org/./x", "https://cdn.org/x"),
+    ("http://base.org", "page", "http://base.org/page"), ("http://base.org/a", "mailto:x@y.z", None), ("http://base.org/a", "HTTPS://o.org/b/../c", "https://o.org/c"),
+]
+add("u6_resolve", lambda s, sf: s.createDataFrame([(i, b, h) for i, (b, h, _) in enumerate(HREFS)], "pos int, base string, href string").select("pos", U.resolved(c("href"), c("base")).alias("value")),
+    f"WITH {X.values([(i, v) for i, (_, _, v) in enumerate(HREFS)], 'h', ['pos', 'value'])} SELECT pos, value FROM h")
+#: address, public form, public and strict form, whether it is private; what a browser's parser gives, stated as values.
+FORMS = [
+    ("http://[::1]/x", None, None, True), ("http://[0:0:0:0:0:0:0:1]/", None, None, True), ("http://2130706433/", "http://127.0.0.1/", None, True), ("http://0x7f.1/a", "http://127.0.0.1/a", None, True),
+    ("http://017700000001/", "http://127.0.0.1/", None, True), ("192.168.257", "https://192.168.1.1/", None, True), ("http://8.8.8.8/", "http://8.8.8.8/", "http://8.8.8.8/", False), ("http://134744072/?q", "http://8.8.8.8/?q", "http://8.8.8.8/?q", False),
+    ("http://1.2.3.4.5/", None, None, False), ("http://256.1.1.1/", None, None, False), ("http://1.2.3.08/", None, None, False), ("http://[2001:db8::1]:8080/a", None, "http://[2001:db8::1]:8080/a", False), ("http://a.org/b/../c#d", "http://a.org/c", "http://a.org/c#d", False),
+    ("http://172.16.0.1", "http://172.16.0.1/", None, True), ("http://172.32.0.1", "http://172.32.0.1/", "http://172.32.0.1/", False), ("http://printer.local/", "http://printer.local/", None, True),
+]
+add("u3_address_forms", lambda s, sf: s.createDataFrame([(i, f[0]) for i, f in enumerate(FORMS)], "pos int, raw string").select("pos", U.normalized(c("raw")).alias("public"), U.normalized_strict(c("raw")).alias("strict"), U.is_private_host(U.hostname(U.with_scheme(c("raw")))).alias("private")),
+    f"WITH {X.values([(i, *f[1:]) for i, f in enumerate(FORMS)], 'f', ['pos', 'public', 'strict', 'private'])} SELECT pos, public, strict, private FROM f")
+CANONICALS = [("https://a.org/x/y", "./y", True), ("https://a.org/x/y/", "../y", True), ("https://a.org/y", "?b=1", True), ("https://a.org/y", "/z/../y/", True), ("https://a.org/y", "../x/y", False), ("https://a.org/y", "https://A.org:443/y", True), ("https://a.org/y", "http://a.org/y", False)]
+add("u8_canonical_forms", lambda s, sf: s.createDataFrame([(i, u, h) for i, (u, h, _) in enumerate(CANONICALS)], "pos int, url string, href string").select("pos", (U.without_slash(U.resolved(c("href"), c("url"))) == U.without_slash(c("url"))).alias("same")),
+    f"WITH {X.values([(i, same) for i, (_, _, same) in enumerate(CANONICALS)], 'k', ['pos', 'same'])} SELECT pos, same FROM k")
 address("u7_slug", lambda r: U.slug(U.pathname(r)), f"coalesce(list_filter(str_split({D.pathname('raw')}, '/'), lambda x: x <> '')[-1], '')")
 record("u8_canonical_compare", lambda: {"same": U.without_slash(U.resolved(c("canonical"), c("url"))) == U.without_slash(c("url"))}, f"{_slash(_canon)} = {_slash('url')} AS same")
 address("u9_scannable", lambda r: F.rlike(r, F.lit("^https?://")), "regexp_matches(raw, '^https?://')")
