@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagelens import lexicon as L
 from pagelens.functions import text as T
-from pagelens.operators import insight, present, vectors
+from pagelens.operators import enrich, insight, present, vectors
 from pagelens.operators import keywords as K
 from pagelens.plans import duck as D
 from pagelens.plans import fixtures as X
@@ -248,7 +248,23 @@ add("p3_page", lambda s, sf: present.page(present.ordered(kw(s, sf))).select("gr
 add("p4_placement_hint", lambda s, sf: kw(s, sf).select("group_id", "term", present.placement_hint().alias("hint")), f"WITH {SCORED}, h AS (SELECT kw.group_id, term, status, {_place} AS p FROM kw JOIN docs ON docs.group_id = kw.group_id AND docs.doc_idx = 0) SELECT group_id, term, CASE WHEN status IN ('missing', 'underused') THEN array_to_string(list_filter(str_split(p, ','), lambda x: x <> '')[1:2], ', ') ELSE '' END AS hint FROM h")
 add("s11_export_json", lambda s, sf: cache.exported(kw(s, sf)))
 add("s12_api_projection", lambda s, sf: kw(s, sf).where("rank <= 12").select("group_id", "rank", "term", "score", "status"), f"WITH {SCORED} SELECT group_id, rank, term, score, status FROM kw WHERE rank <= 12")
-add("p13_top_keywords", lambda s, sf: kw(s, sf).where("rank <= 8").select("group_id", "rank", "term", "score"), f"WITH {SCORED} SELECT group_id, rank, term, score FROM kw WHERE rank <= 8")
+
+
+def web(s, sf):
+    """Each group's twelve keywords with a model's answer that is absent, failed, empty or full, by the length of the group's name."""
+    own = kw(s, sf).where("rank <= 12").groupBy("group_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "term", "status"))), lambda k: F.struct(k["term"].alias("term"), k["status"].alias("status"))).alias("keywords"))
+    kind, term, rival = F.length("group_id") % 4, "array(named_struct('term', 'ai term', 'intent', 'commercial'))", "array(named_struct('name', string(null), 'url', 'https://r.org/', 'reason', 'same goods'))"
+    ai = "named_struct('error', {0}, 'provider', {1}, 'keywords', {2}, 'competitors', {3})".format
+    nothing = "cast(array() as array<struct<term: string, intent: string>>)"
+    ai = F.when(kind == 1, F.expr(ai("'failed'", "'groq'", term, rival))).when(kind == 2, F.expr(ai("string(null)", "'claude'", nothing, rival))).when(kind == 3, F.expr(ai("string(null)", "'groq'", term, rival)))
+    return enrich.shown(own.withColumns({"ai": ai, "rivals": F.array(F.lit("https://hand.org/"))}))
+
+
+_kind = "length(group_id) % 4"
+add("p13_web_keywords", lambda s, sf: web(s, sf).select("group_id", "source", F.posexplode("keyword_rows").alias("pos", "k")).select("group_id", "source", "pos", "k.*"),
+    f"WITH {SCORED}, g AS (SELECT DISTINCT group_id FROM kw), r AS (SELECT group_id, 'Groq enhanced' AS source, 0 AS pos, 'ai term' AS term, 'commercial' AS note FROM g WHERE {_kind} = 3 UNION ALL SELECT group_id, CASE WHEN {_kind} = 2 THEN 'Claude enhanced' ELSE 'Page analysis' END, CAST(rank - 1 AS INTEGER), term, status FROM kw WHERE rank <= 12 AND {_kind} <> 3) SELECT * FROM r")
+add("p13_web_competitors", lambda s, sf: web(s, sf).select("group_id", F.explode("competitor_rows").alias("r")).select("group_id", "r.*"),
+    f"WITH {SCORED} SELECT DISTINCT group_id, CASE WHEN {_kind} >= 2 THEN 'https://r.org/' ELSE 'https://hand.org/' END AS name, CASE WHEN {_kind} >= 2 THEN 'https://r.org/' ELSE 'https://hand.org/' END AS url, CASE WHEN {_kind} >= 2 THEN 'same goods' ELSE 'Added manually' END AS reason FROM kw")
 add("u_1_union_documents", lambda s, sf: docs(s, sf).groupBy("group_id").agg(F.count("*").alias("n")), f"WITH {DOCS} SELECT group_id, count(*) AS n FROM docs GROUP BY 1")
 _decay = f"WITH {SCORED} SELECT group_id, term, round(1 / (1 + 0.15 * (rank - 1)), 6) AS w FROM kw WHERE rank <= 25"
 add("w3_rank_decay", lambda s, sf: kw(s, sf).where("rank <= 25").select("group_id", "term", F.round(1 / (1 + 0.15 * (c("rank") - 1)), 6).alias("w")), _decay)

@@ -71,21 +71,59 @@ def guard(s: SparkSession, sf_dir: str) -> DataFrame:
 _A = X.values(list(enumerate(X.ADDRESSES)), "a0", ["pos", "raw"]) + ", a AS (SELECT * FROM a0 UNION ALL SELECT 1000 + page_id, url FROM pages)"
 _an = f"(CASE WHEN regexp_matches(trim(raw), '(?i)^https?://') THEN trim(raw) ELSE 'https://' || trim(raw) END)"
 add("p6_add_guard", guard, f"WITH {_A}, u AS (SELECT *, {_an} AS u FROM a), n AS (SELECT pos, raw, CASE WHEN contains({D.host('u')}, '.') AND NOT regexp_matches({D.host('u')}, '\\s') THEN {D.origin('u')} || {D.pathname('u')} || regexp_extract(u, '^[^?#]*(\\?[^#]*)', 1) END AS n FROM u) SELECT pos, CASE WHEN trim(raw) = '' THEN 'ignored' WHEN n IS NULL THEN 'invalid' WHEN n IN ('https://www.site.org/', 'https://nothing.org/') THEN 'duplicate' WHEN n LIKE 'https://example.com%' THEN 'own site' ELSE 'added' END AS outcome FROM n")
-# What to do about a failed provider call.
-ACTIONS = [("add_credits", "Add credits"), ("check_key", "Check the API key"), ("retry_later", "Try again later"), ("check_model", "Check the model name"), ("provider_down", "Wait for the provider"), ("network", "Check the connection"), ("failed", "Try again")]
-ERRORS = [(0, 429, "insufficient_quota"), (1, 429, "rate_limit"), (2, 401, None), (3, 403, "x"), (4, 404, None), (5, 500, None), (6, 503, ""), (7, 0, None), (8, 418, "teapot")]
-_ERR = X.values(ERRORS, "er", ["pos", "status", "code"])
-_ECASE = "CASE WHEN code = 'insufficient_quota' THEN 'add_credits' WHEN status IN (401, 403) THEN 'check_key' WHEN status = 429 THEN 'retry_later' WHEN status = 404 THEN 'check_model' WHEN status >= 500 THEN 'provider_down' WHEN status = 0 THEN 'network' ELSE 'failed' END"
-_err = lambda s: s.createDataFrame(ERRORS, "pos int, status int, code string").withColumn("class", enrich.error_class(c("status"), c("code")))
-add("l7_error_class", lambda s, sf: _err(s).select("pos", "class"), f"WITH {_ERR} SELECT pos, {_ECASE} AS class FROM er")
-add("p14_action_lookup", lambda s, sf: _err(s).join(F.broadcast(s.createDataFrame(ACTIONS, "class string, action string")), "class", "left").select("pos", "action"), f"WITH {_ERR}, {X.values(ACTIONS, 'ac', ['class', 'action'])} SELECT pos, action FROM (SELECT pos, {_ECASE} AS class FROM er) e LEFT JOIN ac USING (class)")
+#: provider, status, thrown, code, detail, header; expected action, message, seconds. The values are stated, not computed.
+CALLS = [
+    (("managed", None, "NoKey", None, None, None), ("choose_provider", "OpenAI is not configured for this deployment.", 0.0)),
+    (("openai", None, "NoKey", None, None, None), ("replace_key", "Enter an OpenAI API key.", 0.0)),
+    (("managed", None, "TypeError", None, "fetch failed", None), ("choose_provider", "fetch failed", 0.0)),
+    (("openai", None, "TypeError", None, "fetch failed", None), ("retry", "fetch failed", 0.0)),
+    (("openai", 401, None, None, "x", None), ("replace_key", "That OpenAI API key is invalid. Check it and try again.", 0.0)),
+    (("managed", 403, None, None, None, None), ("permissions", "This OpenAI key does not have permission to use the requested model.", 0.0)),
+    (("openai", 429, None, None, None, "7"), ("wait", "OpenAI is rate limited. Wait a moment and try again.", 20.0)),
+    (("openai", 500, None, None, None, None), ("retry", "OpenAI returned HTTP 500.", 0.0)),
+    (("openai", 418, None, None, "teapot", None), ("retry", "teapot", 0.0)),
+    (("groq", None, "TimeoutError", None, None, None), ("retry", "Groq took too long to respond. Wait a moment and try again.", 0.0)),
+    (("groq", None, "TypeError", None, None, None), ("retry", "Groq could not be reached. Check your connection and try again.", 0.0)),
+    (("groq", 401, None, None, None, None), ("replace_key", "That Groq API key is invalid. Check it and enter it again.", 0.0)),
+    (("groq", 403, None, None, None, None), ("permissions", "This Groq key cannot use the selected model. Check the key’s project permissions.", 0.0)),
+    (("groq", 429, None, None, None, None), ("wait", "Groq’s free limit is busy. Wait 10 seconds, then try again.", 10.0)),
+    (("groq", 429, None, None, None, "90"), ("wait", "Groq’s free limit is busy. Wait 60 seconds, then try again.", 60.0)),
+    (("groq", 429, None, None, None, "0"), ("wait", "Groq’s free limit is busy. Wait 1 seconds, then try again.", 1.0)),
+    (("groq", 400, None, "blocked_api_access", None, None), ("billing", "Groq blocked API access because of an account or spending limit. Check Groq Billing and Limits.", 0.0)),
+    (("groq", 400, None, "other", None, None), ("replace_key", "Groq rejected this request. Check the key and try again.", 0.0)),
+    (("groq", 503, None, None, None, None), ("wait", "Groq is temporarily unavailable. Wait a minute and try again.", 60.0)),
+    (("claude", None, "NoKey", None, None, None), ("replace_key", "Enter a valid Claude API key.", 0.0)),
+    (("claude", 400, None, None, "Your credit balance is low", None), ("billing", "Claude needs available API credits. Check Billing in Claude Console.", 0.0)),
+    (("claude", 400, None, None, "bad request", None), ("retry", "bad request", 0.0)),
+    (("claude", 403, None, None, None, None), ("permissions", "This Claude key does not have permission to use Sonnet or web search.", 0.0)),
+    (("claude", 429, None, None, None, None), ("wait", "Claude is rate limited. Wait a moment and try again.", 20.0)),
+    (("claude", 529, None, None, None, None), ("retry", "Claude returned HTTP 529.", 0.0)),
+    (("claude", 200, None, None, None, None), (None, None, 0.0)),
+]
+_CALL = "pos int, provider string, status int, error string, code string, detail string, retry_after_header string"
+_calls = lambda s: enrich.failure(s.createDataFrame([(i, *x) for i, (x, _) in enumerate(CALLS)], _CALL))
+_said = X.values([(i, *x) for i, (_, x) in enumerate(CALLS)], "w", ["pos", "action", "message", "retry_after"])
+add("l7_error_class", lambda s, sf: _calls(s).select("pos", "action", "message", "retry_after"), f"WITH {_said} SELECT pos, action, message, CAST(retry_after AS DOUBLE) AS retry_after FROM w")
+TOLD = [
+    ("choose_provider", 0.0, "Built-in OpenAI is unavailable", "Choose OpenAI, Groq, or Claude and provide your own API key."), ("replace_key", 0.0, "Check your API key", "The provider rejected this key. Copy a valid key from its official console and try again."),
+    ("permissions", 0.0, "Provider permission required", "Check that the key can use the selected model and web search, then retry."), ("billing", 0.0, "Check provider billing", "Restore API credits or raise the provider limit, then retry."),
+    ("wait", 20.0, "Provider is rate limited", "Wait 20 seconds before trying again."), ("wait", 0.0, "Provider is rate limited", "Wait 10 seconds before trying again."), ("wait", None, "Provider is rate limited", "Wait 10 seconds before trying again."),
+    ("retry", 0.0, "Temporary provider failure", "Wait a moment, check your connection, and try again."), ("unknown", 0.0, "Temporary provider failure", "Wait a moment, check your connection, and try again."), (None, None, "Temporary provider failure", "Wait a moment, check your connection, and try again."),
+]
+add("p14_action_lookup", lambda s, sf: s.createDataFrame([(i, *x[:2]) for i, x in enumerate(TOLD)], "pos int, action string, retry_after double").withColumn("a", enrich.advice(c("action"), c("retry_after"))).select("pos", "a.*"),
+    f"WITH {X.values([(i, *x[2:]) for i, x in enumerate(TOLD)], 't', ['pos', 'heading', 'instruction'])} SELECT pos, heading, instruction FROM t")
 
 # ---- replies of a model -----------------------------------------------------------------------
 REPLIES = [(0, 'Sure! {"a": 1, "b": {"c": 2}} done'), (1, "none"), (2, "} {"), (3, '{"a": }'), (4, '{"k": "}"}'), (5, "")]
 _part = "CASE WHEN strpos(reply, '{') > 0 AND strpos(reply, '}') > 0 AND length(reply) - strpos(reverse(reply), '}') + 1 > strpos(reply, '{') THEN substr(reply, strpos(reply, '{'), length(reply) - strpos(reverse(reply), '}') + 2 - strpos(reply, '{')) END"
 add("l2_json_part", lambda s, sf: s.createDataFrame(REPLIES, "pos int, reply string").select("pos", enrich.json_part(c("reply")).alias("part")), f"WITH {X.values(REPLIES, 'rp', ['pos', 'reply'])} SELECT pos, CASE WHEN json_valid(p) THEN p END AS part FROM (SELECT pos, {_part} AS p FROM rp)")
-add("l1_prompt", lambda s, sf: s.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.md5(enrich.prompt(c("source"), c("lang"), c("text"), F.array(F.lit("x"), F.lit("y"))).cast("binary")).alias("h")), "SELECT doc_id, md5('URL: ' || source || chr(10) || 'Title: ' || lang || chr(10) || 'Terms: x, y' || chr(10) || 'Text: ' || substr(text, 1, 7000)) AS h FROM documents")
-add("l3_reply_text", lambda s, sf: s.read.parquet(f"{sf}/conversations.parquet").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("p")).select("conv_id", F.md5(enrich.reply_text(F.lit(None).cast("string"), c("p")).cast("binary")).alias("h")), "SELECT conv_id, md5(coalesce(string_agg(text, chr(10) ORDER BY turn, text) FILTER (text <> ''), '')) AS h FROM conversations GROUP BY 1")
+_page = lambda sf_cols: F.struct(c("source").alias("url"), c("lang").alias("title"), F.lit(None).cast("string").alias("meta_description"), F.lit("One").alias("h1"), F.lit("Two. Three").alias("h2"), c("text").alias("body"))
+_told = lambda most: f"'Target URL: ' || coalesce(source, '') || chr(10) || 'Title: ' || coalesce(lang, '') || chr(10) || 'Meta description: ' || chr(10) || 'H1: One' || chr(10) || 'H2s: Two. Three' || chr(10) || 'Page text: ' || substr(coalesce(text, ''), 1, {most}) || chr(10) || 'Algorithmic keyword candidates: x, y' || chr(10) || 'Manual competitor URLs: '"
+for _name, _most, _rivals in (("l1_prompt", 7000, []), ("l1_prompt_long", 20_000, ["https://a.org/", "https://b.org/"])):
+    add(_name, lambda s, sf, m=_most, r=_rivals: s.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.md5(enrich.prompt(_page(sf), F.array(F.lit("x"), F.lit("y")), F.array(*map(F.lit, r)).cast("array<string>"), m).cast("binary")).alias("h")),
+        f"SELECT doc_id, md5({_told(_most)} || {q(', '.join(_rivals) or 'none')}) AS h FROM documents")
+add("l3_reply_text", lambda s, sf: s.read.parquet(f"{sf}/conversations.parquet").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", c("role").alias("type"), "text"))).alias("p")).select("conv_id", F.md5(enrich.reply_text(F.lit(None).cast("string"), c("p"), "assistant").cast("binary")).alias("h")),
+    "SELECT conv_id, md5(coalesce(string_agg(coalesce(text, ''), chr(10) ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS h FROM conversations GROUP BY 1")
 COMP = [("https://own.org/", i, u) for i, u in enumerate(["https://a.org", "own.org/x", "http://localhost/", "b.org/", "https://A.org/2", "c.org", "d.org", "https://u:p@e.org", "f.org", "g.org"])]
 _COMP = X.values(COMP, "cm", ["page_url", "pos", "url"])
 _cu = "(CASE WHEN regexp_matches(trim(url), '(?i)^https?://') THEN trim(url) ELSE 'https://' || trim(url) END)"
@@ -94,8 +132,21 @@ _out = f"page_url, pos, {D.origin('u')} || {D.pathname('u')} AS norm"
 _comp = lambda s: s.createDataFrame(COMP, "page_url string, pos int, url string")
 add("l4_valid_competitors", lambda s, sf: enrich.valid_competitors(_comp(s)).select("page_url", "pos", "norm"), f"WITH {_COMP}, {_cn} SELECT {_out} FROM cn WHERE r <= 5 AND fine")
 add("l5_distinct_competitors", lambda s, sf: enrich.valid_competitors(_comp(s), slice_first=False).select("page_url", "pos", "norm"), f"WITH {_COMP}, {_cn}, d AS (SELECT *, row_number() OVER (PARTITION BY page_url, host ORDER BY pos) AS k FROM cn WHERE fine), z AS (SELECT *, row_number() OVER (PARTITION BY page_url ORDER BY pos) AS m FROM d WHERE k = 1) SELECT {_out} FROM z WHERE m <= 5")
-add("l5_distinct_terms", lambda s, sf: enrich.first_terms(s.read.parquet(f"{sf}/part.parquet").select(c("p_brand").alias("page_url"), c("p_partkey").alias("pos"), c("p_type").alias("term"))).select("page_url", "pos", "term"), "SELECT page_url, pos, term FROM (SELECT *, row_number() OVER (PARTITION BY page_url ORDER BY pos) AS m FROM (SELECT p_brand AS page_url, p_partkey AS pos, p_type AS term, row_number() OVER (PARTITION BY p_brand, lower(p_type) ORDER BY p_partkey) AS k FROM part) WHERE k = 1) WHERE m <= 12")
-add("l6_retry_delay", lambda s, sf: s.range(0, 40).select("id", enrich.retry_delay(c("id").cast("double") / 2).alias("delay")), "SELECT id, greatest(1.0, least(15.0, id / 2))::DOUBLE AS delay FROM (SELECT unnest(range(0, 40)) AS id)")
-PROVIDERS = [(0, "openai", True), (1, "openai", False), (2, "other", True), (3, None, True), (4, "gemini", True)]
-add("l8_provider", lambda s, sf: s.createDataFrame(PROVIDERS, "pos int, wanted string, has_key boolean").select("pos", enrich.provider(c("wanted"), c("has_key")).alias("provider")), f"WITH {X.values(PROVIDERS, 'pv', ['pos', 'wanted', 'has_key'])} SELECT pos, CASE WHEN wanted IN ('openai', 'anthropic', 'gemini') AND has_key THEN wanted ELSE 'none' END AS provider FROM pv")
-add("s15_enrichment_callback", lambda s, sf: enrich.enriched(s.createDataFrame(REPLIES, "pos int, prompt string"), str.upper).select("pos", "reply"), f"WITH {X.values(REPLIES, 'rp', ['pos', 'prompt'])} SELECT pos, upper(prompt) AS reply FROM rp")
+TERMS = [("p", i, t) for i, t in enumerate([" Blue Widgets ", "blue widgets", "", "  ", None, "GREEN tea", "green\ttea", "Green Tea\n", *(f"t{k}" for k in range(14))])]
+KEPT = [("p", 0, "blue widgets"), ("p", 5, "green tea"), ("p", 6, "green\ttea"), *(("p", 8 + k, f"t{k}") for k in range(9))]
+add("l5_distinct_terms", lambda s, sf: enrich.first_terms(s.createDataFrame(TERMS, "page_url string, pos int, term string")).select("page_url", "pos", "term"), f"WITH {X.values(KEPT, 'k', ['page_url', 'pos', 'term'])} SELECT page_url, pos, term FROM k")
+add("l5_distinct_terms_of_parts", lambda s, sf: enrich.first_terms(s.read.parquet(f"{sf}/part.parquet").select(c("p_brand").alias("page_url"), c("p_partkey").alias("pos"), c("p_type").alias("term"))).select("page_url", "pos", "term"),
+    "SELECT page_url, pos, term FROM (SELECT *, row_number() OVER (PARTITION BY page_url ORDER BY pos) AS k FROM (SELECT p_brand AS page_url, lower(trim(p_type)) AS term, min(p_partkey) AS pos FROM part GROUP BY 1, 2)) WHERE k <= 12")
+HEADERS = [("5", 5.0, 5.0), ("0", 1.0, 1.0), ("90", 15.0, 60.0), (None, 3.0, 10.0), ("", 3.0, 10.0), ("2.5", 2.5, 2.5), ("15", 15.0, 15.0)]
+add("l6_retry_delay", lambda s, sf: s.createDataFrame([(i, h) for i, (h, _, _) in enumerate(HEADERS)], "pos int, header string").select("pos", enrich.retry_delay(c("header")).alias("delay"), enrich.seconds_to_wait(c("header"), 60, 10).alias("told")),
+    f"WITH {X.values([(i, a, b) for i, (_, a, b) in enumerate(HEADERS)], 'h', ['pos', 'delay', 'told'])} SELECT pos, CAST(delay AS DOUBLE) AS delay, CAST(told AS DOUBLE) AS told FROM h")
+WANTED = [("managed", "managed"), ("openai", "openai"), ("groq", "groq"), ("claude", "claude"), ("gemini", "managed"), (None, "managed"), ("", "managed"), ("OpenAI", "managed")]
+add("l8_provider", lambda s, sf: s.createDataFrame([(i, w) for i, (w, _) in enumerate(WANTED)], "pos int, wanted string").select("pos", enrich.provider(c("wanted")).alias("provider")),
+    f"WITH {X.values([(i, p) for i, (_, p) in enumerate(WANTED)], 'v', ['pos', 'provider'])} SELECT pos, provider FROM v")
+def shouted(prompt: str) -> str:
+    if not prompt:
+        raise ValueError("no prompt")
+    return prompt.upper()
+
+
+add("s15_enrichment_callback", lambda s, sf: enrich.enriched(s.createDataFrame(REPLIES, "pos int, prompt string"), shouted).select("pos", "reply", "error"), f"WITH {X.values(REPLIES, 'rp', ['pos', 'prompt'])} SELECT pos, CASE WHEN prompt <> '' THEN upper(prompt) END AS reply, CASE WHEN prompt = '' THEN 'ValueError: no prompt' END AS error FROM rp")
