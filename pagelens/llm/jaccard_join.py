@@ -137,20 +137,23 @@ def leaves(reps: DataFrame, leaf: int = LEAF, depth: int = DEPTH, recall: float
     spark = reps.sparkSession
     runs = runs_for(recall, THRESHOLD, depth)
     nodes = reps.select("rep_id", "sig", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(runs).cast("long"))).alias("path"))
-    found = None
+    found, counted = None, []
     for level in range(1, depth + 1):
         members = _children(nodes)
         sizes = common.written(members.groupBy("path").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
         total = sizes.agg(F.sum("size")).first()[0] or 0
         # A node may hold a very common passage: its rows stay where they are.
-        here = common.written(common.by_heavy(members.select("rep_id", "path"), sizes, "path", "size", total), "nodes")
-        common.remove(spark, sizes)
-        done = here if level == depth else here.where(F.col("size") <= leaf)
-        found = done if found is None else found.unionByName(done)
-        large = here.where(F.col("size") > leaf)
+        here = common.by_heavy(members.select("rep_id", "path"), sizes, "path", "size", total)
+        here = common.written(here if level == depth else here.where(F.col("size") <= leaf), "nodes")
+        found = here if found is None else found.unionByName(here)
+        counted.append(sizes)
+        large = sizes.where(F.col("size") > leaf)
         if level == depth or large.isEmpty():
             break
-        nodes = large.select("rep_id", "path").join(possible(reps.select("rep_id", "sig"), large, ["rep_id"]), "rep_id")
+        # Sets go on where they are, by their own minhash values: no table is joined with itself. The bitmap
+        # may let a smaller node through, whose sets then share some more leaves, each pair still counted once.
+        nodes = possible(members, large, ["path"])
+    common.remove(spark, *counted)
     return found.select("rep_id", "path", "size")
 
 
@@ -335,22 +338,26 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["rep_id", "root_id", "links"])
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, plain: int = 1_000_000) -> DataFrame:
     """Smallest id in each connected component of the edges (x, y): id, top. Written out in each round.
 
     Rounds alternate: every node's larger neighbours, then its smaller ones, move to the smallest
     node near it, until only stars are left, which takes a number of rounds that grows with the
-    logarithm of the nodes; the number of edges never grows. The edges of hubs stay where they are.
+    logarithm of the nodes; the number of edges never grows. Beyond `plain` edges, of 16 bytes each,
+    the edges of hubs stay where they are, so that no task gets more than a bounded part of them.
     """
     spark = edges.sparkSession
     both = lambda df: df.select("x", "y").union(df.select(F.col("y").alias("x"), F.col("x").alias("y")))
 
-    def lowest(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-        near = common.written(df.groupBy("x").agg(F.least("x", F.min("y")).alias("m"), F.count("*").alias("n")), "near")
-        total = near.agg(F.sum("n")).first()[0] or 0
-        return common.by_heavy(df, near, "x", "n", total), near
+    def lowest(df: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+        near = df.groupBy("x").agg(F.least("x", F.min("y")).alias("m"), F.count("*").alias("n"))
+        if n <= plain:
+            return df.join(near, "x"), []
+        near = common.written(near, "near")
+        return common.by_heavy(df, near, "x", "n", near.agg(F.sum("n")).first()[0] or 0), [near]
 
     edges, seen = common.written(edges.where("x <> y").selectExpr("greatest(x, y) as x", "least(x, y) as y").distinct(), "edges"), None
+    n = edges.count()
     while True:
         moved, near = lowest(both(edges))
         large = common.written(moved.where("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")).distinct(), "edges")
@@ -358,8 +365,8 @@ def components(edges: DataFrame) -> DataFrame:
         small = moved.select(F.col("y").alias("x"), F.col("m").alias("y")).union(moved.select("x", F.col("m").alias("y"))).where("x <> y").distinct()
         new = common.written(small, "edges")
         sign = new.agg(F.count("*"), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)"))).first()
-        common.remove(spark, edges, near, large, close)
-        edges = new
+        common.remove(spark, edges, large, *near, *close)
+        edges, n = new, sign[0]
         if sign == seen:
             return edges.select(F.col("x").alias("id"), F.col("y").alias("top"))
         seen = sign

@@ -109,9 +109,10 @@ def test_family_at_the_threshold(spark):
     assert 0.999 * n * (n - 1) <= out[0] <= n * (n - 1)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("plain", [1_000_000, 0])
+def test_components(spark, plain):
     edges = [(i, i + 1) for i in range(100, 130)] + [(5, 9), (9, 2), (7, 2)] + [(50, k) for k in range(51, 90)]
-    got = {r.id: r.top for r in J.components(spark.createDataFrame(edges, "x long, y long")).collect()}
+    got = {r.id: r.top for r in J.components(spark.createDataFrame(edges, "x long, y long"), plain).collect()}
     want = {i: 100 for i in range(101, 131)} | {5: 2, 9: 2, 7: 2} | {k: 50 for k in range(51, 90)}
     assert got == want
 
