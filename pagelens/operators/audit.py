@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelens.functions import urls as U
+from pagelens.operators import audit_text
 
 # Weights by severity, category titles.
 WEIGHTS = {"critical": 5, "warning": 2, "notice": 1}
@@ -75,12 +76,12 @@ def rules() -> list[Rule]:
     ]
 
 
-def outcomes(records: DataFrame) -> DataFrame:
-    """page_id, rule_no, rule_id, category, severity, weight, failed of each rule that applies."""
-    each = []
+def outcomes(records: DataFrame, texts: bool = False) -> DataFrame:
+    """page_id, rule_no, rule_id, category, severity, weight, failed of each rule that applies; with title, detail, fix, passed and value where texts are asked for."""
+    each, of = [], audit_text.values() if texts else {}
     for number, r in enumerate(rules(), 1):
         severity = F.lit(r.severity) if isinstance(r.severity, str) else r.severity
-        row = F.struct(F.lit(number).alias("rule_no"), F.lit(r.id).alias("rule_id"), F.lit(r.category).alias("category"), severity.alias("severity"), F.coalesce(r.fails, F.lit(False)).alias("failed"))
+        row = F.struct(F.lit(number).alias("rule_no"), F.lit(r.id).alias("rule_id"), F.lit(r.category).alias("category"), severity.alias("severity"), F.coalesce(r.fails, F.lit(False)).alias("failed"), *(audit_text.texts(r.id, of) if texts else []))
         each.append(row if r.applies is None else F.when(r.applies, row))
     df = records.select("page_id", F.explode(F.filter(F.array(*each), lambda x: x.isNotNull())).alias("r")).select("page_id", "r.*")
     weight = F.when(F.col("severity") == "critical", WEIGHTS["critical"]).when(F.col("severity") == "warning", WEIGHTS["warning"]).otherwise(WEIGHTS["notice"])
@@ -101,7 +102,14 @@ def scores(found: DataFrame) -> DataFrame:
 
 
 def findings(found: DataFrame) -> DataFrame:
-    """Failed rules of each page, by severity, then rule order."""
+    """Failed rules of each page, by severity, then rule order; with their texts if found has them."""
     order = F.when(F.col("severity") == "critical", 0).when(F.col("severity") == "warning", 1).otherwise(2)
     w = Window.partitionBy("page_id").orderBy(order, "rule_no")
-    return found.where("failed").select("page_id", "rule_id", "category", "severity", F.row_number().over(w).alias("position"))
+    told = [c for c in ("title", "detail", "fix", "value") if c in found.columns]
+    return found.where("failed").select("page_id", "rule_id", "category", "severity", F.row_number().over(w).alias("position"), *told)
+
+
+def passes(found: DataFrame) -> DataFrame:
+    """Rules that each page passed, in rule order; found: outcomes() with texts."""
+    w = Window.partitionBy("page_id").orderBy("rule_no")
+    return found.where("not failed").select("page_id", "rule_id", "category", F.col("passed").alias("label"), F.row_number().over(w).alias("position"))

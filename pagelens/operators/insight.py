@@ -54,29 +54,32 @@ def primary_terms(kw: DataFrame) -> DataFrame:
 
 
 def recommendations(kw: DataFrame, target: DataFrame) -> DataFrame:
-    """group_id, ord, priority, title, example, terms. target: as keywords.targets() gives it."""
+    """group_id, ord, priority, title, detail, example, terms, of every target, with keywords or without. target: as keywords.targets() gives it."""
 
     def first(test: Column, n: int, name: str) -> DataFrame:
         w = Window.partitionBy("group_id").orderBy("rank")
         df = kw.where(~F.col("boilerplate") & test).withColumn("r", F.row_number().over(w)).where(F.col("r") <= n)
         return df.groupBy("group_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("r", "term"))), lambda x: x["term"]).alias(name))
 
-    df = primary_terms(kw).join(target, "group_id")
+    df = target.join(primary_terms(kw), "group_id", "left").withColumn("comp_count", F.coalesce("comp_count", "rivals"))
     df = df.join(first(F.col("status").isin("missing", "absent") & (F.col("words") >= 2), 6, "gaps"), "group_id", "left")
     df = df.join(first(F.col("status") == "underused", 5, "weak"), "group_id", "left").join(first(F.col("status").isin("defend", "primary"), 5, "strong"), "group_id", "left")
     p, t, rivals = F.col("primary"), F.col("target"), F.col("comp_count") > 0
     lacks = lambda k: ~F.contains(F.lower(t[k]), p)
     quoted = lambda a, b: F.concat(F.lit(a + '"'), p, F.lit('"' + b))
     none, nothing = F.lit(None).cast("string"), F.lit(None).cast("array<string>")
-    row = lambda i, pr, title, ex=none, terms=nothing: F.struct(F.lit(i).alias("ord"), F.lit(pr).alias("priority"), title.alias("title"), ex.alias("example"), terms.alias("terms"))
+    row = lambda i, pr, title, ex=none, terms=nothing, detail=none: F.struct(F.lit(i).alias("ord"), F.lit(pr).alias("priority"), title.alias("title"), detail.alias("detail"), ex.alias("example"), terms.alias("terms"))
+    every = lambda k: F.array_join(F.transform(k, lambda x: F.concat(F.lit('"'), x, F.lit('"'))), ", ")
+    said = lambda a, k, b: F.concat(F.lit(a), every(F.col(k)), F.lit(b))
     n = F.size("gaps")
+    # Titles and details.
     rows = F.array(
-        F.when(lacks("title"), row(1, "high", quoted("Put ", " in the title tag"), title_suggestion(t, p))),
-        F.when(lacks("h1"), row(2, "high", quoted("Work ", " into the H1"))),
-        F.when(lacks("meta_description"), row(3, "medium", quoted("Mention ", " in the meta description"), description_suggestion(t, p))),
-        F.when(rivals & F.col("gaps").isNotNull(), row(4, "high", F.concat(F.lit("Cover "), n, F.when(n == 1, " topic").otherwise(" topics"), F.lit(" the category ranks for and you do not")), none, F.col("gaps"))),
-        F.when(rivals & F.col("weak").isNotNull(), row(5, "medium", F.lit("Strengthen terms you only mention in passing"), none, F.col("weak"))),
-        F.when(F.col("strong").isNotNull(), row(6, "low", F.lit("Defend what you already lead on"), none, F.col("strong"))),
-        F.when(~rivals, row(7, "medium", F.lit("Add competitor URLs for the comparison"))),
+        F.when(p.isNotNull() & lacks("title"), row(1, "high", quoted("Put ", " in the title tag"), title_suggestion(t, p), nothing, F.lit("It is the strongest topical term for this page but does not appear in the title — the highest-weight element you control."))),
+        F.when(p.isNotNull() & lacks("h1"), row(2, "high", quoted("Work ", " into the H1"), none, nothing, F.lit("The H1 and title should agree on the page topic. Right now they do not both contain the primary term."))),
+        F.when(p.isNotNull() & lacks("meta_description"), row(3, "medium", quoted("Mention ", " in the meta description"), description_suggestion(t, p), nothing, F.lit("Matched terms are bolded in the search snippet, which lifts click-through even when rank is unchanged."))),
+        F.when(rivals & F.col("gaps").isNotNull(), row(4, "high", F.concat(F.lit("Cover "), n, F.when(n == 1, " topic").otherwise(" topics"), F.lit(" the category ranks for and you do not")), none, F.col("gaps"), said("Competitors consistently cover: ", "gaps", ". Each is a section this page is missing."))),
+        F.when(rivals & F.col("weak").isNotNull(), row(5, "medium", F.lit("Strengthen terms you only mention in passing"), none, F.col("weak"), said("", "weak", " appear on this page far more weakly than across the category. Promote them into headings rather than burying them in body copy."))),
+        F.when(F.col("strong").isNotNull(), row(6, "low", F.lit("Defend what you already lead on"), none, F.col("strong"), said("You are strongest on ", "strong", ". Keep this copy intact and point internal links at this page using those phrases as anchor text."))),
+        F.when(~rivals, row(7, "medium", F.lit("Add competitor URLs for the comparison"), none, nothing, F.lit("Keyword scores right now reflect only this page. Add 3–5 sites in the same category to unlock gap analysis, clustering and benchmarks."))),
     )
     return df.select("group_id", F.explode(F.filter(rows, lambda r: r.isNotNull())).alias("r")).select("group_id", "r.*")

@@ -135,7 +135,9 @@ def placements(term: Column, target: Column) -> Column:
 
 def targets(docs: DataFrame) -> DataFrame:
     """What later steps need of each group's target page."""
-    return docs.where("doc_idx = 0").select("group_id", F.struct("title", F.col("fields.h1").alias("h1"), "meta_description", F.col("fields.h2").alias("h2"), "hostname").alias("target"))
+    parts = F.struct("title", F.col("fields.h1").alias("h1"), "meta_description", F.col("fields.h2").alias("h2"), "hostname")
+    df = docs.groupBy("group_id").agg(F.max(F.when(F.col("doc_idx") == 0, parts)).alias("target"), (F.count("*") - 1).alias("rivals"))
+    return df.where("target is not null")
 
 
 def keywords(docs: DataFrame, prof: DataFrame | None = None) -> DataFrame:
@@ -146,7 +148,7 @@ def keywords(docs: DataFrame, prof: DataFrame | None = None) -> DataFrame:
     weights = tfidf(prof, vocab, sizes)
     own = weights.groupBy("group_id", "term").agg(F.max("idf").alias("idf"), F.coalesce(F.max(F.when(F.col("doc_idx") == 0, F.col("tfidf"))), F.lit(0.0)).alias("tfidf"),
         F.sort_array(F.collect_list(F.when(F.col("doc_idx") > 0, F.struct("doc_idx", "tfidf")))).alias("others"))
-    df = scored(vocab).join(own, ["group_id", "term"], "left").join(targets(docs), "group_id", "left")
+    df = scored(vocab).join(own, ["group_id", "term"], "left").join(targets(docs).drop("rivals"), "group_id", "left")
     of = lambda i: F.coalesce(F.get(F.filter("others", lambda o: o["doc_idx"] == i), F.lit(0))["tfidf"], F.lit(0.0))
     others = F.when(F.col("comp_count") > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("comp_count"))), of)).otherwise(F.array().cast("array<double>"))
     return df.withColumns({"placements": placements(F.col("term"), F.col("target")), "competitor_tfidf": others, "idf": F.coalesce("idf", F.lit(0.0)), "tfidf": F.coalesce("tfidf", F.lit(0.0))}).drop("target", "others")

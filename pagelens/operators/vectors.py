@@ -197,6 +197,23 @@ def theme() -> Column:
     )
 
 
+# Label and advice by theme.
+THEMES = {
+    "onpage": ("On-page topic", "Add competitors to see how this topic compares to the category."),
+    "unique": ("Only you", "No one else in the set covers this. Either a real differentiator or off-topic drift — decide which."),
+    "gap": ("Content gap", "The category covers this topic and this page does not. Highest-leverage place to add a section."),
+    "weak": ("Table stakes, underweight", "Everyone covers this and you do so weakly. Strengthen it before chasing new topics."),
+    "strength": ("Your strength", "You lead the set here. Keep this copy and build internal links around it."),
+    "contested": ("Contested", "You are level with the category. Depth and freshness decide this one."),
+}
+
+
+def theme_texts(key: Column) -> tuple[Column, Column]:
+    """Label and advice of a theme."""
+    known = F.create_map(*(x for k, (label, text) in THEMES.items() for x in (F.lit(k), F.struct(F.lit(label).alias("label"), F.lit(text).alias("advice")))))
+    return F.try_element_at(known, key)["label"], F.try_element_at(known, key)["advice"]
+
+
 def labels(members: DataFrame) -> DataFrame:
     """group_id, cluster, label: the tokens that the best members share. members: group_id, cluster, term, rank."""
     m = members.withColumn("r", F.row_number().over(Window.partitionBy("group_id", "cluster").orderBy("rank")) - 1)
@@ -215,4 +232,6 @@ def summaries(members: DataFrame) -> DataFrame:
         F.max("comp_count").alias("comp_count"), F.max("silhouette").alias("silhouette"), F.min("cluster").alias("__c"),
     )
     df = df.join(labels(members), ["group_id", "cluster"]).withColumn("theme", theme())
+    label, text = theme_texts(F.col("theme"))
+    df = df.withColumns({"theme_label": label, "advice": text})
     return df.withColumn("id", F.row_number().over(Window.partitionBy("group_id").orderBy(F.desc("avg_score"), "cluster")) - 1).drop("__c")

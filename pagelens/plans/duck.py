@@ -132,7 +132,7 @@ c2 AS (SELECT *, {bags('meta')} AS metas, {bags('link')} AS rels, {bags('img')}
   substr({strip_tags(without(f"CASE WHEN regexp_matches(clean, {q(body)}) THEN regexp_extract(clean, {q(body)}, 1) ELSE clean END", L.CHROME))}, 1, {L.MAX_BODY}) AS body,
   list_transform(regexp_extract_all(clean, {q(a_re)}, 1), lambda t, i: struct_pack(b := {bag('t')}, x := regexp_extract_all(clean, {q(a_re)}, 2)[i])) AS links0
   FROM c1),
-c3 AS (SELECT *, list_filter(list_transform(links0, lambda t: struct_pack(label := {strip_tags('t.x')}, host := {a_host}, nofollow := contains(lower(coalesce({attr('t.b', 'rel')}, '')), 'nofollow'))), lambda a: a.host IS NOT NULL) AS links FROM c2),
+c3 AS (SELECT *, list_filter(list_transform(links0, lambda t: struct_pack(label := {strip_tags('t.x')}, host := {a_host}, nofollow := contains(lower(coalesce({attr('t.b', 'rel')}, '')), 'nofollow'), image := regexp_matches(t.x, '(?is)<img\\b[^>]*\\balt\\s*='))), lambda a: a.host IS NOT NULL) AS links FROM c2),
 rec AS (SELECT page_id, url, html, clean, {origin('url')} AS origin, {host('url')} AS hostname, {pathname('url')} AS pathname, {protocol('url')} AS protocol, title, headings,
   {meta('description')} AS meta_description, {meta('robots')} AS meta_robots, {meta('viewport')} AS viewport, {link_rel('canonical')} AS canonical,
   coalesce({attr('(' + bag(rf"regexp_extract(clean, '(?is)<html\b([^>]*)>', 1)") + ')', 'lang')}, '') AS lang,

@@ -208,7 +208,6 @@ add("p12_cluster_cards", lambda s, sf: members(s, sf).withColumn("r", F.row_numb
 add("p10_opportunity_map", lambda s, sf: present.opportunity(members(s, sf)))
 
 RECS = lambda s, sf: insight.recommendations(kw(s, sf), K.targets(docs(s, sf)))
-add("a20_recommendations", lambda s, sf: RECS(s, sf).select("group_id", "ord", "priority", "title", F.array_join("terms", ",").alias("terms")))
 PRIMARY = f"{SCORED}, po AS (SELECT *, CASE WHEN NOT boilerplate AND target_strength > 0 AND (comp_count = 0 OR coverage > 0) THEN 0 WHEN NOT boilerplate AND target_strength > 0 THEN 1 WHEN NOT boilerplate THEN 2 ELSE 3 END AS tier, round(target_strength * CASE WHEN words >= 2 THEN 1.15 ELSE 1.0 END, 9) AS worth FROM kw), pt AS (SELECT group_id, term AS prim FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY tier, CASE WHEN tier <= 1 THEN -worth ELSE 0 END, rank) AS o FROM po) WHERE o = 1)"
 for _name in ("g12_arg_max", "o3_first_match"):
     add(_name, lambda s, sf: insight.primary_terms(kw(s, sf)).select("group_id", c("primary").alias("prim")), f"WITH {PRIMARY} SELECT group_id, prim FROM pt")
@@ -225,6 +224,59 @@ add("a22_description_suggestion", lambda s, sf: _tgt(s, sf).select("group_id", i
     f"""WITH {PRIMARY} SELECT pt.group_id, CASE WHEN {_md} = '' THEN 'Write ~150 characters covering "' || prim || '" and the outcome a reader gets from this page.' WHEN length({_md} || ' Learn more about ' || prim || '.') <= 160 THEN {_md} || ' Learn more about ' || prim || '.' ELSE 'Rework the existing description to lead with "' || prim || '" (keep it under 160 characters).' END AS value {_of_target}""")
 
 
+_first = lambda name, test, n: f"{name} AS (SELECT group_id, list(term ORDER BY rank) AS {name}_terms FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY rank) AS r FROM kw WHERE NOT boilerplate AND {test}) WHERE r <= {n} GROUP BY 1)"
+_quoted = lambda k: f"array_to_string(list_transform({k}, lambda x: '\"' || x || '\"'), ', ')"
+_title_of = f"CASE WHEN length({_base}) > 60 THEN substr({_base}, 1, 57) || '…' ELSE {_base} END"
+_lead = "length({0} || ' Learn more about ' || prim || '.') <= 160".format(_md)
+_desc_of = f"""CASE WHEN {_md} = '' THEN 'Write ~150 characters covering "' || prim || '" and the outcome a reader gets from this page.' WHEN {_lead} THEN {_md} || ' Learn more about ' || prim || '.' ELSE 'Rework the existing description to lead with "' || prim || '" (keep it under 160 characters).' END"""
+_recs = [
+    (1, "high", "prim IS NOT NULL AND NOT contains(lower(title), prim)", """'Put "' || prim || '" in the title tag'""", "'It is the strongest topical term for this page but does not appear in the title — the highest-weight element you control.'", _title_of, "NULL"),
+    (2, "high", "prim IS NOT NULL AND NOT contains(lower(h1), prim)", """'Work "' || prim || '" into the H1'""", "'The H1 and title should agree on the page topic. Right now they do not both contain the primary term.'", "NULL", "NULL"),
+    (3, "medium", "prim IS NOT NULL AND NOT contains(lower(meta_description), prim)", """'Mention "' || prim || '" in the meta description'""", "'Matched terms are bolded in the search snippet, which lifts click-through even when rank is unchanged.'", _desc_of, "NULL"),
+    (4, "high", "k > 0 AND gaps_terms IS NOT NULL", "'Cover ' || len(gaps_terms) || CASE WHEN len(gaps_terms) = 1 THEN ' topic' ELSE ' topics' END || ' the category ranks for and you do not'", f"'Competitors consistently cover: ' || {_quoted('gaps_terms')} || '. Each is a section this page is missing.'", "NULL", "gaps_terms"),
+    (5, "medium", "k > 0 AND weak_terms IS NOT NULL", "'Strengthen terms you only mention in passing'", f"{_quoted('weak_terms')} || ' appear on this page far more weakly than across the category. Promote them into headings rather than burying them in body copy.'", "NULL", "weak_terms"),
+    (6, "low", "strong_terms IS NOT NULL", "'Defend what you already lead on'", f"'You are strongest on ' || {_quoted('strong_terms')} || '. Keep this copy intact and point internal links at this page using those phrases as anchor text.'", "NULL", "strong_terms"),
+    (7, "medium", "k = 0", "'Add competitor URLs for the comparison'", "'Keyword scores right now reflect only this page. Add 3–5 sites in the same category to unlock gap analysis, clustering and benchmarks.'", "NULL", "NULL"),
+]
+_each = " UNION ALL ".join(f"SELECT group_id, {i} AS ord, '{pr}' AS priority, {t} AS title, {d} AS detail, CAST({e} AS VARCHAR) AS example, array_to_string(CAST({x} AS VARCHAR[]), ',') AS terms FROM rc WHERE {when}" for i, pr, when, t, d, e, x in _recs)
+add("a20_recommendations", lambda s, sf: RECS(s, sf).select("group_id", "ord", "priority", "title", "detail", "example", F.array_join("terms", ",").alias("terms")),
+    f"WITH {PRIMARY}, " + _first("gaps", "status IN ('missing', 'absent') AND words >= 2", 6) + ", " + _first("weak", "status = 'underused'", 5) + ", " + _first("strong", "status IN ('defend', 'primary')", 5)
+    + f", cn AS (SELECT group_id, count(*) - 1 AS k FROM docs GROUP BY 1), rc AS (SELECT docs.*, k, prim, gaps_terms, weak_terms, strong_terms FROM docs JOIN cn USING (group_id) LEFT JOIN pt USING (group_id) LEFT JOIN gaps USING (group_id) LEFT JOIN weak USING (group_id) LEFT JOIN strong USING (group_id) WHERE doc_idx = 0) SELECT * FROM ({_each})")
+#: averages of coverage, target and competitors, number of competitors; label and advice as stated.
+AVERAGES = [
+    (0.9, 0.5, 0.5, 0, "On-page topic", "Add competitors to see how this topic compares to the category."), (0.14, 0.0, 0.9, 3, "Only you", "No one else in the set covers this. Either a real differentiator or off-topic drift — decide which."),
+    (0.4, 0.09, 0.9, 3, "Content gap", "The category covers this topic and this page does not. Highest-leverage place to add a section."), (0.6, 0.3, 0.5, 3, "Table stakes, underweight", "Everyone covers this and you do so weakly. Strengthen it before chasing new topics."),
+    (0.3, 0.5, 0.5, 3, "Your strength", "You lead the set here. Keep this copy and build internal links around it."), (0.3, 0.4, 0.5, 3, "Contested", "You are level with the category. Depth and freshness decide this one."), (0.15, 0.09, 0.5, 1, "Contested", "You are level with the category. Depth and freshness decide this one."),
+]
+
+
+def themed(s, sf):
+    df = s.createDataFrame([(i, *x[:4]) for i, x in enumerate(AVERAGES)], "pos int, avg_coverage double, avg_target double, avg_comp double, comp_count long").withColumn("theme", vectors.theme())
+    label, text = vectors.theme_texts(c("theme"))
+    return df.select("pos", label.alias("label"), text.alias("advice"))
+
+
+add("a18_theme_texts", themed, f"WITH {X.values([(i, *x[4:]) for i, x in enumerate(AVERAGES)], 'v', ['pos', 'label', 'advice'])} SELECT pos, label, advice FROM v")
+
+
+def dealt(s, sf):
+    """Keywords in clusters by the length of the term, so that SQL can deal them too."""
+    return kw(s, sf).withColumns({"cluster": F.length("term") % 4, "silhouette": F.lit(0.0)})
+
+
+_DEALT = f"{SCORED}, mb AS (SELECT *, length(term) % 4 AS cluster, row_number() OVER (PARTITION BY group_id, length(term) % 4 ORDER BY rank) - 1 AS r FROM kw)"
+_NAMED = f"""{_DEALT}, tk1 AS (SELECT group_id, cluster, r, unnest(str_split(term, ' ')) AS token, generate_subscripts(str_split(term, ' '), 1) AS pos FROM mb WHERE r < 25), lw AS (SELECT group_id, cluster, token, round(sum(1 / (1 + 0.15 * r)), 9) AS w, min(struct_pack(r := r, p := pos)) AS first FROM tk1 WHERE token NOT IN {_sets(L.STOPWORDS)} AND length(token) >= 3 GROUP BY 1, 2, 3),
+ lo AS (SELECT *, row_number() OVER (PARTITION BY group_id, cluster ORDER BY w DESC, first) AS o FROM lw), ln AS (SELECT group_id, cluster, string_agg(token, ' · ' ORDER BY o) AS label FROM lo WHERE o <= 3 GROUP BY 1, 2), lb AS (SELECT mb.group_id, mb.cluster, coalesce(label, term) AS label FROM mb LEFT JOIN ln USING (group_id, cluster) WHERE r = 0)"""
+add("a17_labels_of_dealt", lambda s, sf: vectors.labels(dealt(s, sf)).select("group_id", c("cluster").cast("int").alias("cluster"), "label"), f"WITH {_NAMED} SELECT group_id, CAST(cluster AS INTEGER) AS cluster, label FROM lb")
+add("a16_summary_of_dealt", lambda s, sf: vectors.summaries(dealt(s, sf)).select("group_id", c("cluster").cast("int").alias("cluster"), c("size").cast("int").alias("size"), "avg_score", F.round("avg_coverage", 6).alias("avg_coverage"), "theme"),
+    f"WITH {_NAMED}, su AS (SELECT group_id, cluster, CAST(count(*) AS INTEGER) AS size, CAST(floor(round(avg(score), 9) + 0.5) AS INTEGER) AS avg_score, avg(coverage) AS cov, avg(target_strength) AS t, avg(comp_strength) AS cs, max(comp_count) AS k FROM mb GROUP BY 1, 2) SELECT group_id, CAST(cluster AS INTEGER) AS cluster, size, avg_score, round(cov, 6) AS avg_coverage, CASE WHEN k = 0 THEN 'onpage' WHEN cov < 0.15 THEN 'unique' WHEN t < 0.1 AND cov >= 0.4 THEN 'gap' WHEN cov >= 0.6 AND t < cs * 0.7 THEN 'weak' WHEN t >= cs THEN 'strength' ELSE 'contested' END AS theme FROM su")
+add("p10_map_of_dealt", lambda s, sf: present.opportunity(dealt(s, sf)).select("group_id", c("cluster").cast("int").alias("cluster"), "term", F.round("x", 6).alias("x"), F.round("y", 6).alias("y")),
+    f"WITH {_DEALT} SELECT group_id, CAST(cluster AS INTEGER) AS cluster, term, round(greatest(0.0, least(1.0, target_strength)), 6) AS x, round(greatest(0.0, least(1.0, demand)), 6) AS y FROM mb WHERE r < 30")
+_card = lambda df: df.withColumn("r", F.row_number().over(Window.partitionBy("group_id", "cluster").orderBy("rank"))).groupBy("group_id", "cluster").agg(F.sort_array(F.collect_list(F.when(c("r") <= 12, F.struct("r", "term")))).alias("m"), F.greatest(F.lit(0), F.count("*") - 12).cast("int").alias("more"))  # noqa: E731  lists of 12 at most
+add("p12_cards_of_dealt", lambda s, sf: _card(dealt(s, sf)).select("group_id", c("cluster").cast("int").alias("cluster"), F.array_join(F.transform("m", lambda x: x["term"]), ", ").alias("members"), "more"),
+    f"WITH {_DEALT} SELECT group_id, CAST(cluster AS INTEGER) AS cluster, string_agg(term, ', ' ORDER BY rank) FILTER (r < 12) AS members, CAST(greatest(0, count(*) - 12) AS INTEGER) AS more FROM mb GROUP BY 1, 2")
+
+
 def page_docs(s, sf):
     return K.grouped(records(s, sf).where("page_id >= 0"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pagelens import lexicon as L
 from pagelens.functions import text as T
 from pagelens.functions import urls as U
-from pagelens.operators import audit, html
+from pagelens.operators import audit, audit_text, html
 from pagelens.plans import duck as D
 from pagelens.plans import fixtures as X
 
@@ -89,9 +89,9 @@ raw("e5_strip_non_content", T.strip_non_content, "clean")
 raw("e6_strip_chrome", T.strip_chrome, D.without("html", L.CHROME))
 add(
     "e2_parse_attributes",
-    lambda spark, sf: pages(spark, sf).select("page_id", F.posexplode(html.bags(T.strip_non_content(F.coalesce("html", F.lit(""))), "a")).alias("tag", "b")).select("page_id", "tag", F.explode("b").alias("a")).groupBy("page_id", "tag", "a.key").agg(F.count("*").alias("n"), F.max_by("a.value", F.length("a.value")).alias("value")).select("page_id", "tag", "key", "n", "value"),
+    lambda spark, sf: pages(spark, sf).select("page_id", F.posexplode(html.bags(T.strip_non_content(F.coalesce("html", F.lit(""))), "a")).alias("tag", "b")).select("page_id", "tag", F.posexplode("b").alias("at", "a")).groupBy("page_id", "tag", "a.key").agg(F.count("*").alias("n"), F.max_by("a.value", "at").alias("value")).select("page_id", "tag", "key", "n", "value"),
     f"WITH {D.RECORD}, t AS (SELECT page_id, tag - 1 AS tag, b FROM (SELECT page_id, unnest({D.bags('a')}) AS b, generate_subscripts({D.bags('a')}, 1) AS tag FROM c1)) "
-    "SELECT page_id, tag, key, count(*) AS n, arg_max(value, length(value)) AS value FROM (SELECT page_id, tag, unnest(b.k) AS key, unnest(b.v) AS value FROM t) GROUP BY ALL",
+    "SELECT page_id, tag, key, count(*) AS n, arg_max(value, nth) AS value FROM (SELECT page_id, tag, unnest(b.k) AS key, unnest(b.v) AS value, generate_subscripts(b.k, 1) AS nth FROM t) GROUP BY ALL",
 )
 record("e7_title", lambda: {"title": c("title")}, "title")
 record("e8_meta", lambda: {"description": c("meta_description"), "robots": c("meta_robots"), "viewport": c("viewport")}, "meta_description AS description, meta_robots AS robots, viewport")
@@ -105,12 +105,9 @@ record("e18_hreflang", lambda: {"hreflang": F.array_join("hreflang", ",")}, "coa
 record("e19_open_graph", lambda: {f"og_{k}": c(f"og.{k}") for k in ("title", "description", "image", "type", "url")} | {f"twitter_{k}": c(f"twitter.{k}") for k in ("card", "title", "image")},
        ", ".join([f"og_{k}" for k in ("title", "description", "image", "type", "url")] + [f"twitter_{k}" for k in ("card", "title", "image")]))
 record("e20_fields", lambda: {k: c(f"fields.{k}") for k in L.FIELDS}, "title, f_h1 AS h1, f_description AS description, f_h2 AS h2, f_h3 AS h3, f_anchor AS anchor, f_alt AS alt, body")
-record("e21_anchor_labels_dom", lambda: {"empty_anchor": c("links.empty_anchor"), "generic_anchor": c("links.generic_anchor")}, "", "dom")
-record("e22_microdata_dom", lambda: {"types": F.array_join("schema_types", ","), "invalid": c("invalid_json_ld")}, "", "dom")
 record("e23_sizes", lambda: {"html_bytes": c("html_bytes").cast("long"), "dom_nodes": c("dom_nodes").cast("long")}, "CAST(length(html) + len(regexp_extract_all(html, '[\\x{10000}-\\x{10FFFF}]')) AS BIGINT) AS html_bytes, CAST(0 AS BIGINT) AS dom_nodes")
 record("s2_page_record", lambda: {k: c(k) for k in ("url", "origin", "hostname", "pathname", "protocol", "title", "meta_description", "canonical", "lang")} | {"h1_count": c("h1_count").cast("long"), "words": c("word_count").cast("long")},
        "url, origin, hostname, pathname, protocol, title, meta_description, canonical, lang, h1_count, word_count AS words")
-record("s1_page_record_dom", lambda: {"dom_nodes": c("dom_nodes"), "empty_anchor": c("links.empty_anchor"), "types": F.array_join("schema_types", ",")}, "", "dom")
 
 HEADS = "h AS (SELECT page_id, unnest(headings) AS h, generate_subscripts(headings, 1) AS pos FROM rec)"
 add("e11_headings", lambda s, sf: records(s, sf).select("page_id", F.posexplode("headings").alias("p", "h")).select("page_id", (c("p") + 1).cast("long").alias("pos"), "h.level", "h.text"), f"WITH {D.RECORD}, {HEADS} SELECT page_id, pos, h.level AS level, h.text AS text FROM h")
@@ -159,7 +156,7 @@ RULES_SQL = [
     ("empty-anchors", "links", "'notice'", "false", "true"),
     ("og-missing", "social", "'notice'", "og_title = '' OR og_description = ''", "true"),
     ("og-image", "social", "'notice'", "og_image = ''", "true"),
-    ("schema-missing", "social", "'warning'", "page_id <> -1", "true"),
+    ("schema-missing", "social", "'warning'", "page_id NOT IN (SELECT page_id FROM typed)", "true"),
     ("schema-invalid", "social", "'warning'", "false", "true"),
     ("no-https", "technical", "'critical'", "protocol = 'http:'", "true"),
     ("viewport", "technical", "'critical'", "viewport = ''", "true"),
@@ -167,9 +164,10 @@ RULES_SQL = [
     ("url-slug", "technical", "'notice'", f"length({_slug}) > 60 OR regexp_matches({_slug}, '[_A-Z]') OR regexp_matches({_slug}, '(?i)%[0-9a-f]{{2}}')", "true"),
     ("dom-size", "technical", "'notice'", "false", "true"),
 ]
-# The test pages hold no JSON-LD; of the literal ones only -1 does, which the statement uses.
+#: Pages with a type in their JSON-LD, as rule 23 needs them.
+TYPED = f"{LD}, n1 AS ({ENTER.format('b')}), g AS (SELECT page_id, json_extract(j, '$.\"@graph\"') AS j FROM n1 WHERE json_extract(j, '$.\"@graph\"') IS NOT NULL), n2 AS ({ENTER.format('g')}), typed AS (SELECT DISTINCT page_id FROM (SELECT * FROM n1 UNION ALL SELECT * FROM n2) WHERE json_type(json_extract(j, '$.\"@type\"')) IN ('VARCHAR', 'ARRAY'))"
 _cells = ", ".join(f"CASE WHEN {ap} THEN struct_pack(no := {i}, id := '{rid}', category := '{cat}', severity := {sev}, failed := {fails}) END" for i, (rid, cat, sev, fails, ap) in enumerate(RULES_SQL, 1))
-OUTCOMES = f"o0 AS (SELECT page_id, unnest([{_cells}]) AS r FROM rec), o AS (SELECT page_id, r.no AS rule_no, r.id AS rule_id, r.category AS category, r.severity AS severity, r.failed AS failed, CASE r.severity WHEN 'critical' THEN 5 WHEN 'warning' THEN 2 ELSE 1 END AS weight FROM o0 WHERE r IS NOT NULL)"
+OUTCOMES = f"{TYPED}, o0 AS (SELECT page_id, unnest([{_cells}]) AS r FROM rec), o AS (SELECT page_id, r.no AS rule_no, r.id AS rule_id, r.category AS category, r.severity AS severity, r.failed AS failed, CASE r.severity WHEN 'critical' THEN 5 WHEN 'warning' THEN 2 ELSE 1 END AS weight FROM o0 WHERE r IS NOT NULL)"
 
 
 def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,13 +176,73 @@ def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 add("audit_outcomes", outcomes, f"WITH {D.RECORD}, {OUTCOMES} SELECT page_id, rule_no, rule_id, category, severity, failed, weight FROM o")
 for _n, (_id, *_rest) in enumerate(RULES_SQL, 1):
-    add(f"rule{_n}_{_id.replace('-', '_')}", lambda s, sf, i=_id: outcomes(s, sf).where(c("rule_id") == i).select("page_id", "severity", "failed"), f"WITH {D.RECORD} SELECT page_id, {_rest[1]} AS severity, {_rest[2]} AS failed FROM rec WHERE {_rest[3]}")
+    add(f"rule{_n}_{_id.replace('-', '_')}", lambda s, sf, i=_id: outcomes(s, sf).where(c("rule_id") == i).select("page_id", "severity", "failed"), f"WITH {D.RECORD}, {TYPED} SELECT page_id, {_rest[1]} AS severity, {_rest[2]} AS failed FROM rec WHERE {_rest[3]}")
+# Rules that only a live document can fail, on counters of the whole source.
+_generic = "(" + ", ".join(map(D.q, L.GENERIC_LABELS)) + ")"
+DOM = {
+    "generic_anchor": f"CAST(len(list_filter(links, lambda a: lower(a.label) IN {_generic})) AS INTEGER)", "empty_anchor": "CAST(len(list_filter(links, lambda a: a.label = '' AND NOT a.image)) AS INTEGER)",
+    "invalid": "CAST(len(list_filter(blocks, lambda x: NOT json_valid(x))) AS INTEGER)", "dom_nodes": "CAST(len(regexp_extract_all(html, '<[a-zA-Z]')) AS INTEGER)",
+}
+DOM_PAGES = [
+    (-101, "https://dom.example.org/", "<a href='/1'>click here</a><a href='/2'>Read More</a><a href='/3'>here</a><a href='/4'> LINK </a><a href='/5'></a><a href='/6'><img src=x></a><a href='/7'><img alt=y></a><script type='application/ld+json'>{broken</script><div itemtype='https://schema.org/Event/'></div>" + "<p>" * 2500),
+    (-102, "https://dom.example.org/", "<a href='JavaScript:x()'></a><a href='javascript:x()'></a><script type='application/ld+json'>{\"@type\": \"Person\"}</script><script type='application/ld+json'>[1,</script>" + "<p>" * 2498 + "<meta property='description' content='by property'><meta name='description' content='by name'>"),
+]
+
+
+def live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records by the rules of live documents, of all pages and of two more that fail what only they can fail."""
+    more = spark.createDataFrame(DOM_PAGES, "page_id long, url string, html string")
+    return html.extract(pages(spark, sf_dir).unionByName(more), "dom")
+
+
+_DOM = D.RECORD.replace("SELECT * FROM fix_html", "SELECT * FROM fix_html UNION ALL SELECT * FROM dom_html").replace("\nraw AS", "\n" + X.values(DOM_PAGES, "dom_html", ["page_id", "url", "html"]) + ",\nraw AS")
+add("e21_anchor_labels_dom", lambda s, sf: live(s, sf).select("page_id", "links.empty_anchor", "links.generic_anchor"), f"WITH {_DOM} SELECT page_id, {DOM['empty_anchor']} AS empty_anchor, {DOM['generic_anchor']} AS generic_anchor FROM rec")
+add("e22_microdata_dom", lambda s, sf: live(s, sf).select("page_id", F.array_join(F.array_sort("schema_types"), ",").alias("types"), c("invalid_json_ld").alias("invalid")),
+    f"WITH {_DOM}, {TYPED.replace('typed AS (SELECT DISTINCT page_id FROM', 'ty AS (SELECT page_id, json_extract(j, chr(36) || chr(46) || chr(34) || chr(64) || chr(116) || chr(121) || chr(112) || chr(101) || chr(34)) AS t FROM')}, u AS (SELECT page_id, t ->> '$' AS v FROM ty WHERE json_type(t) = 'VARCHAR' UNION ALL SELECT page_id, unnest(CAST(t AS VARCHAR[])) FROM ty WHERE json_type(t) = 'ARRAY' UNION ALL SELECT page_id, list_filter(str_split(m, '/'), lambda x: x <> '')[-1] FROM (SELECT page_id, unnest(regexp_extract_all(clean, '(?is)itemtype\\s*=\\s*[\"'']([^\"'']+)[\"'']', 1)) AS m FROM rec)), "
+    f"w AS (SELECT page_id, string_agg(DISTINCT v, ',' ORDER BY v) AS types FROM u GROUP BY 1) SELECT rec.page_id, coalesce(types, '') AS types, {DOM['invalid']} AS invalid FROM rec LEFT JOIN w ON w.page_id = rec.page_id")
+add("s1_page_record_dom", lambda s, sf: live(s, sf).select("page_id", "dom_nodes", "meta_description", "links.empty_anchor", "invalid_json_ld"),
+    f"WITH {_DOM} SELECT page_id, {DOM['dom_nodes']} AS dom_nodes, CASE WHEN page_id = -102 THEN 'by name' ELSE meta_description END AS meta_description, {DOM['empty_anchor']} AS empty_anchor, {DOM['invalid']} AS invalid_json_ld FROM rec")
+for _id, _what, _most in (("generic-anchors", "generic_anchor", 3), ("empty-anchors", "empty_anchor", 0), ("schema-invalid", "invalid", 0), ("dom-size", "dom_nodes", 2500)):
+    add(f"dom_rule_{_id.replace('-', '_')}", lambda s, sf, i=_id: audit.outcomes(live(s, sf)).where(c("rule_id") == i).select("page_id", "failed"), f"WITH {_DOM} SELECT page_id, {DOM[_what]} > {_most} AS failed FROM rec")
 SCORES = f"{OUTCOMES}, sc AS (SELECT page_id, CAST(sum(weight) AS BIGINT) AS total_weight, CAST(sum(CASE WHEN failed THEN weight ELSE 0 END) AS BIGINT) AS lost_weight, count(*) FILTER (failed AND severity = 'critical') AS critical, count(*) FILTER (failed AND severity = 'warning') AS warning, count(*) FILTER (failed AND severity = 'notice') AS notice, count(*) FILTER (NOT failed) AS passed FROM o GROUP BY 1), s AS (SELECT *, CAST(greatest(0, floor(100 - lost_weight / greatest(total_weight, 1) * 100 + 0.5)) AS INTEGER) AS score FROM sc)"
 GRADE = "CASE WHEN score >= 90 THEN 'A' WHEN score >= 80 THEN 'B' WHEN score >= 65 THEN 'C' WHEN score >= 50 THEN 'D' ELSE 'F' END"
 _score = lambda s, sf: audit.scores(outcomes(s, sf))
 add("r30_score", lambda s, sf: _score(s, sf).select("page_id", "total_weight", "lost_weight", "score"), f"WITH {D.RECORD}, {SCORES} SELECT page_id, total_weight, lost_weight, score FROM s")
 add("r31_counts", lambda s, sf: _score(s, sf).select("page_id", "critical", "warning", "notice", "passed"), f"WITH {D.RECORD}, {SCORES} SELECT page_id, critical, warning, notice, passed FROM s")
 add("r32_findings", lambda s, sf: audit.findings(outcomes(s, sf)), f"WITH {D.RECORD}, {OUTCOMES} SELECT page_id, rule_id, category, severity, CAST(row_number() OVER (PARTITION BY page_id ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END, rule_no) AS INTEGER) AS position FROM o WHERE failed")
+_dash = "→"
+_texts = {
+    "title_length": f"length({_t})", "description_length": f"length({_d})", "robots": "meta_robots", "canonical": "canonical", "h1_count": "h1_count", "word_count": "word_count", "headings": "len(headings)",
+    "step": f"(SELECT coalesce(arg_min('H' || a || ' {_dash} H' || b, p), '') FROM (SELECT h.pos AS p, lag(h.h.level) OVER (ORDER BY h.pos) AS a, h.h.level AS b FROM (SELECT unnest(rec.headings) AS h, generate_subscripts(rec.headings, 1) AS pos) h) z WHERE b - a > 1)",
+    "missing_alt": "missing_alt || CASE WHEN missing_alt = 1 THEN ' image' ELSE ' images' END", "no_dimensions": "no_dimensions", "img_total": "img_total", "internal": "internal", "generic": "'0'", "empty": "'0'", "invalid": "'0'", "dom_nodes": "'0'", "slug": _slug,
+    "types": "coalesce((SELECT string_agg(type, ', ' ORDER BY first) FROM (SELECT type, min(at) AS first FROM types WHERE types.page_id = rec.page_id GROUP BY 1 ORDER BY 2 LIMIT 4)), '')",
+}
+
+
+def told(template: str) -> str:
+    """A text with its values, as SQL."""
+    parts = audit_text.WORD.split(template)
+    return " || ".join(f"CAST({_texts[x]} AS VARCHAR)" if i % 2 else D.q(x) for i, x in enumerate(parts) if i % 2 or x)
+
+
+def detail(rule_id: str) -> str:
+    said = audit_text.TEXTS[rule_id][1]
+    if isinstance(said, str):
+        return told(said)
+    return f"CASE WHEN length({_t if rule_id == 'title-length' else _d}) < {30 if rule_id == 'title-length' else 70} THEN {D.q(said[0])} ELSE {D.q(said[1])} END"
+
+
+_h1s = "substr(array_to_string(list_transform(list_filter(headings, lambda h: h.level = 1), lambda h: h.text), ' | '), 1, 200)"
+_value = {"title-length": _t, "description-length": _d, "h1-multiple": _h1s}
+_no_types = {i for i in audit_text.TEXTS if "{types}" in "".join(map(str, audit_text.TEXTS[i]))}
+_rows = ", ".join(
+    f"CASE WHEN {ap} THEN struct_pack(no := {i}, id := '{rid}', category := '{cat}', severity := {sev}, failed := {fails}, title := {told(audit_text.TEXTS[rid][0])}, detail := {detail(rid)}, fix := {D.q(audit_text.TEXTS[rid][2])}, passed := {D.q('') if rid in _no_types else told(audit_text.TEXTS[rid][3])}, value := {_value.get(rid, 'CAST(NULL AS VARCHAR)')}) END"
+    for i, (rid, cat, sev, fails, ap) in enumerate(RULES_SQL, 1)
+)
+TOLD = f"{TYPED}, t0 AS (SELECT page_id, unnest([{_rows}]) AS r FROM rec), t AS (SELECT page_id, r.* FROM t0 WHERE r IS NOT NULL)"
+_rank = "CASE severity WHEN 'critical' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END"
+add("r32_finding_texts", lambda s, sf: audit.findings(audit.outcomes(records(s, sf), texts=True)), f"WITH {D.RECORD}, {TOLD} SELECT page_id, id AS rule_id, category, severity, CAST(row_number() OVER (PARTITION BY page_id ORDER BY {_rank}, no) AS INTEGER) AS position, title, detail, fix, value FROM t WHERE failed")
+add("r32_passed", lambda s, sf: audit.passes(audit.outcomes(records(s, sf), texts=True)).where("rule_id <> 'schema-missing'").select("page_id", "rule_id", "category", "label"), f"WITH {D.RECORD}, {TOLD} SELECT page_id, id AS rule_id, category, passed AS label FROM t WHERE NOT failed AND id <> 'schema-missing'")
 add("r33_grade", lambda s, sf: _score(s, sf).select("page_id", "score", "grade"), f"WITH {D.RECORD}, {SCORES} SELECT page_id, score, {GRADE} AS grade FROM s")
 _cat = "(VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in audit.CATEGORIES.items()) + ") t(category, label)"
 add("r34_categories", lambda s, sf: outcomes(s, sf).groupBy("category").agg(F.count_if("failed").alias("failed"), F.count("*").alias("n")).join(F.broadcast(s.createDataFrame(list(audit.CATEGORIES.items()), "category string, label string")), "category", "left"),
