@@ -5,11 +5,12 @@ Sets of word 5-grams (the whole word sequence where a text is shorter) are joine
 Representatives carry t minhash values, their tokens. A run starts all sets in one node; a node
 picks random token positions (1/threshold of them on average) and sends each set to the child
 named by its value there. Nodes small enough are leaves; larger ones are split again, level by
-level, down to a depth limit. Runs are repeated until the chance to miss a pair at the threshold
+level, down to a depth limit, unless a split keeps most of a node together: such a node, a family of
+near copies, is a leaf as it stands. Runs are repeated until the chance to miss a pair at the threshold
 is below 1 - recall, over the minhash values and the positions drawn.
 
 Inside a leaf all pairs are compared, first by their minhash values, and what remains exactly on
-the 5-gram sets. A leaf still too large at the depth limit (one family of near copies) is cut
+the 5-gram sets. A leaf that is too large for one task is cut
 into blocks, and pairs of blocks are compared in tasks of their own, so none is left out. A pair
 is counted only in the smallest leaf that its sets share. Tasks emit one row for each set in a
 leaf (links counted there, and the root of its component there), never the pairs.
@@ -27,6 +28,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +41,8 @@ from pagelens.llm import common
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.999
 #: Pairs that agree in fewer than NEED of T minhash values are not compared; at the threshold about one in 10 million is such.
 T, NEED, LEAF, DEPTH = 64, 32, 1000, 6
+#: A node is a leaf, whatever its size, if a child holds this share of it: near copies do, as their minhash values agree.
+DENSE = 0.75
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -129,7 +133,7 @@ def _children(df: DataFrame) -> DataFrame:
     one, two = (F.pmod(F.xxhash64("path", F.lit(k)), F.lit(T)).cast("int") for k in (1, 2))
     wants = F.pmod(F.xxhash64("path", F.lit(3)), F.lit(1 << 20)) < second * (1 << 20)
     chosen = F.when(wants & (one != two), F.array(one, two)).otherwise(F.array(one))
-    return df.withColumn("path", F.explode(F.transform(chosen, lambda c: F.xxhash64("path", c, F.get("sig", c)))))
+    return df.withColumn("parent", F.col("path")).withColumn("path", F.explode(F.transform(chosen, lambda c: F.xxhash64("path", c, F.get("sig", c)))))
 
 
 def leaves(reps: DataFrame, leaf: int = LEAF, depth: int = DEPTH, recall: float = RECALL) -> DataFrame:
@@ -137,24 +141,34 @@ def leaves(reps: DataFrame, leaf: int = LEAF, depth: int = DEPTH, recall: float
     spark = reps.sparkSession
     runs = runs_for(recall, THRESHOLD, depth)
     nodes = reps.select("rep_id", "sig", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(runs).cast("long"))).alias("path"))
-    found, counted = None, []
+    found, counted, above, large = [], [], None, None
     for level in range(1, depth + 1):
         members = _children(nodes)
-        sizes = common.written(members.groupBy("path").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
-        total = sizes.agg(F.sum("size")).first()[0] or 0
-        # A node may hold a very common passage: its rows stay where they are.
-        here = common.by_heavy(members.select("rep_id", "path"), sizes, "path", "size", total)
-        here = common.written(here if level == depth else here.where(F.col("size") <= leaf), "nodes")
-        found = here if found is None else found.unionByName(here)
+        sizes = common.written(members.groupBy("path").agg(F.count("*").alias("size"), F.first("parent").alias("parent")).where("size > 1"), "sizes")
         counted.append(sizes)
+        if above is not None:
+            kept = sizes.groupBy(F.col("parent").alias("path")).agg(F.max("size").alias("most")).join(large, "path").where(F.col("most") >= DENSE * F.col("size"))
+            dense = common.written(kept.select("path", "size"), "dense")
+            counted.append(dense)
+            found.append(_gathered(above, dense))
+            sizes = sizes.join(dense.select(F.col("path").alias("parent")), "parent", "left_anti")
+        sizes = sizes.select("path", "size")
+        found.append(_gathered(members, sizes if level == depth else sizes.where(F.col("size") <= leaf)))
         large = sizes.where(F.col("size") > leaf)
         if level == depth or large.isEmpty():
             break
         # Sets go on where they are, by their own minhash values: no table is joined with itself. The bitmap
         # may let a smaller node through, whose sets then share some more leaves, each pair still counted once.
-        nodes = possible(members, large, ["path"])
+        above, nodes = members, possible(members, large, ["path"]).select("rep_id", "sig", "path")
     common.remove(spark, *counted)
-    return found.select("rep_id", "path", "size")
+    return reduce(DataFrame.unionByName, found)
+
+
+def _gathered(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """rep_id, path, size of the sets in these nodes. A node may hold a very common passage: its rows stay where they are."""
+    rows = possible(members.select("rep_id", "path"), nodes, ["path"])
+    total = nodes.agg(F.sum("size")).first()[0] or 0
+    return common.written(common.by_heavy(rows, nodes, "path", "size", total).select("rep_id", "path", "size"), "nodes")
 
 
 def blocked(found: DataFrame, leaf: int = LEAF) -> DataFrame:
