@@ -20,8 +20,9 @@ connected component) and n_links (other documents at the threshold or above, cop
 
 Defined results: words are runs of non-white-space (ASCII), compared as they stand; texts that
 are null or have no word have no set, link to nothing and form classes of their own; rows that
-repeat a doc_id are one document, with the text of the smallest hash; rows without a doc_id are
-left out; an empty table gives no rows.
+repeat a doc_id and its text are one document; rows that share a doc_id, or have none, but differ
+in text are documents of their own, each with a row, and those without an id come last in the
+order that picks the smallest one; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -123,10 +124,29 @@ def sketches(docs: DataFrame) -> DataFrame:
             low = [x.astype(np.uint8).tobytes() for x in sigs]
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["th"], pa.array(sizes, pa.int32()), pa.array(fps, pa.binary()), lists, pa.array(low, pa.binary())], ["doc_id", "th", "n", "fp", "sig", "sig8"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), "text").where("doc_id is not null")
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), "text")
     return rows.mapInArrow(run, "doc_id long, th long, n int, fp binary, sig array<int>, sig8 binary")
 
 
+def numbered(sketch: DataFrame) -> tuple[DataFrame, bool]:
+    """One row for each doc_id and text, with a unique `key` in the order of doc_id (nulls last) and text hash; whether it is other than doc_id.
+
+    The key is doc_id itself where all are there and none has two texts. Otherwise the distinct
+    pairs, of 16 bytes each, are sorted and written out with their numbers.
+    """
+    per_id = sketch.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("th").alias("low"), F.max("th").alias("high"))
+    most, odd = per_id.agg(F.max("n"), F.max(F.col("doc_id").isNull() | (F.col("low") != F.col("high")))).first()
+    if most and most > 1:
+        rows = F.first(F.struct("n", "fp", "sig", "sig8")).alias("row")  # of one text, so all alike
+        sketch = common.written(sketch.groupBy("doc_id", "th").agg(rows).select("doc_id", "th", "row.*"), "sketch")
+    if not odd:
+        return sketch.withColumn("key", F.col("doc_id")), False
+    order = sketch.select(F.col("doc_id").alias("__doc"), F.col("th").alias("__th")).orderBy(F.asc_nulls_last("__doc"), "__th")
+    order = common.written(order.withColumn("key", F.monotonically_increasing_id()), "keys")
+    same = F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("th") == F.col("__th"))
+    return common.written(sketch.join(order, same).drop("__doc", "__th"), "sketch"), True
+
+
 def _children(df: DataFrame) -> DataFrame:
     """One row for each set and child node: the node's positions are a function of its name."""
     second = F.lit(1 / THRESHOLD - 1)
@@ -401,35 +421,45 @@ def possible(df: DataFrame, wanted: DataFrame, key: list[str], bits: int = 26) -
 
 
 def joined(docs: DataFrame, leaf: int = LEAF, depth: int = DEPTH, recall: float = RECALL) -> DataFrame:
-    """doc_id, th (xxhash64 of the text used), copy_id, class_id, n_links for each doc_id of docs (doc_id, text)."""
-    sketch = common.written(sketches(docs), "sketch")
-    if not sketch.groupBy("doc_id").count().where("count > 1").isEmpty():
-        rows = F.min(F.struct("th", "n", "fp", "sig", "sig8")).alias("row")
-        sketch = common.written(sketch.groupBy("doc_id").agg(rows).select("doc_id", "row.*"), "sketch")
-    reps = sketch.where("n > 0").groupBy("fp").agg(F.min(F.struct(F.col("doc_id").alias("rep_id"), "th", "sig", "sig8")).alias("rep"), F.count("*").alias("copies"))
+    """doc_id, th (xxhash64 of the text), copy_id, class_id, n_links, is_first (of its class) for each document of docs (doc_id, text)."""
+    sketch, other = numbered(common.written(sketches(docs), "sketch"))
+    reps = sketch.where("n > 0").groupBy("fp").agg(F.min(F.struct(F.col("key").alias("rep_id"), F.col("doc_id").alias("doc"), "th", "sig", "sig8")).alias("rep"), F.count("*").alias("copies"))
     reps = common.written(reps.select("fp", "copies", "rep.*"), "reps")
     found = common.written(leaves(reps, leaf, depth, recall), "leaves")
     paths = found.groupBy("rep_id").agg(F.sort_array(F.collect_list("path")).alias("paths"))  # as many as runs give
-    known = reps.select("rep_id", "copies", "th", "sig8").join(paths, "rep_id")
+    known = reps.select("rep_id", "doc", "copies", "th", "sig8").join(paths, "rep_id")
     known = common.written(known, "known")
     tasks = blocked(found, leaf).join(known, "rep_id")
     key = ["path", "a", "b"]
     active = tasks.repartition(*key).sortWithinPartitions(*key, "rep_id").select(*key, "side", "rep_id", "sig8", "paths")
     active = common.written(active.mapInArrow(_active, "path long, a int, b int, side int, rep_id long").join(known, "rep_id"), "active")
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep_id"), F.xxhash64("text").alias("th"), "text")
-    wanted = active.select("rep_id", "th").distinct()
-    # An inner join on distinct keys: the optimizer would move a semi join below the bitmap's.
-    texts = possible(texts, wanted, ["rep_id", "th"]).join(wanted, ["rep_id", "th"]).dropDuplicates(["rep_id"]).drop("th")
-    checked = active.join(texts, "rep_id").repartition(*key).sortWithinPartitions(*key, "rep_id").select(*key, "side", "rep_id", "sig8", "paths", "copies", "text")
+    wanted = active.select("rep_id", "doc", "th").distinct()
+    if other:
+        texts = docs.select(F.col("doc_id").cast("long").alias("__doc"), F.xxhash64("text").alias("__th"), "text")
+        wanted = wanted.select("rep_id", F.col("doc").alias("__doc"), F.col("th").alias("__th"))
+        pairs = wanted.select("rep_id", F.col("__doc").alias("doc"), F.col("__th").alias("th"))
+        texts = possible(texts, wanted, ["__doc", "__th"]).join(pairs, F.col("__doc").eqNullSafe(F.col("doc")) & (F.col("__th") == F.col("th"))).select("rep_id", "text")
+    else:
+        texts = docs.select(F.col("doc_id").cast("long").alias("rep_id"), F.xxhash64("text").alias("th"), "text")
+        # An inner join on distinct keys: the optimizer would move a semi join below the bitmap's.
+        texts = possible(texts, wanted, ["rep_id", "th"]).join(wanted.select("rep_id", "th"), ["rep_id", "th"]).select("rep_id", "text")
+    checked = active.join(texts.dropDuplicates(["rep_id"]), "rep_id").repartition(*key).sortWithinPartitions(*key, "rep_id").select(*key, "side", "rep_id", "sig8", "paths", "copies", "text")
     rows = common.written(checked.mapInArrow(_verified, "rep_id long, root_id long, links long"), "links")
     common.remove(docs.sparkSession, found, known, active)
-    tops = components(rows.select(F.col("rep_id").alias("x"), F.col("root_id").alias("y")))
-    per_rep = rows.groupBy("rep_id").agg(F.sum("links").alias("links")).join(tops.withColumnRenamed("id", "rep_id"), "rep_id", "left")
-    per_rep = reps.select("fp", "rep_id", "copies").join(per_rep, "rep_id", "left")
-    of = sketch.select("doc_id", "th", F.when(F.col("n") > 0, F.col("fp")).alias("fp")).join(per_rep, "fp", "left")
-    own = F.coalesce("rep_id", "doc_id")
-    return of.select("doc_id", "th", own.alias("copy_id"), F.coalesce("top", own).alias("class_id"), (F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).cast("long").alias("n_links"))
+    tops = components(rows.select(F.col("rep_id").alias("x"), F.col("root_id").alias("y"))).withColumnRenamed("id", "rep_id")
+    if other:  # a class goes by the doc_id of its first document, not by its key
+        sizes = tops.groupBy("top").agg(F.count("*").alias("__n")).join(reps.select(F.col("rep_id").alias("top"), F.col("doc").alias("top_doc")), "top")
+        tops = common.by_heavy(tops, common.written(sizes, "tops"), "top", "__n", tops.count()).drop("__n")
+    else:
+        tops = tops.withColumn("top_doc", F.col("top"))
+    per_rep = rows.groupBy("rep_id").agg(F.sum("links").alias("links")).join(tops, "rep_id", "left")
+    per_rep = reps.select("fp", "rep_id", "doc", "copies").join(per_rep, "rep_id", "left")
+    of = sketch.select("doc_id", "th", "key", F.when(F.col("n") > 0, F.col("fp")).alias("fp")).join(per_rep, "fp", "left")
+    copy = F.when(F.col("rep_id").isNull(), F.col("doc_id")).otherwise(F.col("doc"))
+    links = (F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).cast("long")
+    first = F.coalesce("top", "rep_id", "key") == F.col("key")
+    return of.select("doc_id", "th", copy.alias("copy_id"), F.when(F.col("top").isNull(), copy).otherwise(F.col("top_doc")).alias("class_id"), links.alias("n_links"), first.alias("is_first"))
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return joined(common.table(spark, sf_dir, "documents")).drop("th")
+    return joined(common.table(spark, sf_dir, "documents")).drop("th", "is_first")

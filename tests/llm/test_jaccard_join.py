@@ -73,10 +73,21 @@ def test_equals_brute_force(spark, leaf):
 
 def test_empty_and_repeated(spark):
     df = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (2, "a b c"), (None, "a b c"), (3, None)], "doc_id long, text string")
-    assert {tuple(r) for r in J.joined(df).drop("th").collect()} == {(1, 1, 1, 1), (2, 1, 1, 1), (3, 3, 3, 0)}
+    assert {tuple(r) for r in J.joined(df).drop("th").collect()} == {(1, 1, 1, 2, True), (2, 1, 1, 2, False), (None, 1, 1, 2, False), (3, 3, 3, 0, True)}
     assert J.joined(df.where("false")).count() == 0
 
 
+def test_ids_that_are_missing_or_hold_several_texts(spark):
+    """As with ids of their own, given in the order of doc_id (none last) and text hash; nothing is left out."""
+    rng, rows = random.Random(8), [(i, t) for i, t in corpus(6)]
+    given = {i: None if rng.random() < 0.3 else i // 3 for i, _ in rows}
+    df = spark.createDataFrame([(given[i], t) for i, t in rows] + [(given[i], t) for i, t in rows[:20]], "doc_id long, text string").repartition(5)
+    order = df.select("doc_id", "text", F.xxhash64("text").alias("th")).distinct().orderBy(F.asc_nulls_last("doc_id"), "th").collect()
+    want = brute([(k, r.text) for k, r in enumerate(order)])
+    expected = sorted(((r.doc_id, r.th, order[w[0]].doc_id, order[w[1]].doc_id, w[2], w[1] == k) for k, (r, w) in enumerate(zip(order, want.values(), strict=True))), key=str)
+    assert sorted((tuple(r) for r in J.joined(df).collect()), key=str) == expected
+
+
 def test_runs_reach_the_recall():
     assert J.runs_for(0.999, 0.8, 6) > J.runs_for(0.9, 0.8, 6) >= J.runs_for(0.9, 0.8, 1)
 
