@@ -164,7 +164,8 @@ def mixed(
     local = n <= max_cells
     weights = (_local if local else _spread)(found, targets, budget)
     weights = weights.select(F.struct(*DIMENSIONS).alias("__cell"), F.col("factor").alias("__factor"), F.col("probability").alias("__probability"))
-    draw = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11) / F.lit(float(1 << 53))
+    alone = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))  # so that documents without an id are not drawn all or none
+    draw = F.shiftrightunsigned(F.xxhash64("doc_id", alone, F.lit(seed)), 11) / F.lit(float(1 << 53))
     df = df.withColumn("__cell", F.struct(*(F.col(f"mix.{d}").alias(d) for d in DIMENSIONS)))
     if local:
         df = df.join(F.broadcast(weights), "__cell")
