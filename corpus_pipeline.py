@@ -4,8 +4,8 @@ quality rules -> n-gram Jaccard join -> secret scan -> source mix -> byte BPE. T
 stage is written to the shared folder and read back as the next one's documents. All stages but
 the last return the columns of documents.
 
-Defined results: rows without a doc_id pass the first stage as any other and end at the second,
-which cannot name them; rows that repeat a doc_id are one document from the second stage on; an
+Defined results: rows without a doc_id are documents as any other, as are rows that share a doc_id
+but differ in text; rows that repeat doc_id and text are one document from the second stage on; an
 empty table passes through as such.
 """
 
@@ -25,10 +25,11 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, of the smallest id, from each class of near duplicates."""
-    firsts = jaccard_join.joined(docs).where("class_id = doc_id").select("doc_id", "th")
-    kept = docs.withColumn("__th", F.xxhash64("text")).join(firsts.select("doc_id", F.col("th").alias("__th")), ["doc_id", "__th"], "left_semi").select(*docs.columns)
-    repeated = not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
-    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+    docs = docs.withColumn("__th", F.xxhash64("text"))
+    firsts = jaccard_join.joined(docs.drop("__th")).where("is_first").select(F.col("doc_id").alias("__id"), F.col("th").alias("__hash"))
+    kept = docs.join(firsts, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__hash")), "left_semi")
+    repeated = not docs.groupBy("doc_id", "__th").count().where("count > 1").isEmpty()
+    return (kept.dropDuplicates(["doc_id", "__th"]) if repeated else kept).drop("__th")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
