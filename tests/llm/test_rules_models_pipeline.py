@@ -224,8 +224,8 @@ def test_pipeline_stage_by_stage(spark):
         outs.append({r.doc_id: r for r in docs.collect()})
     good, distinct, redacted, mixed, encoded = outs
     assert good and all(not brute_statistics(r.text)[5] for r in good.values())
-    classes = brute([(i, r.text) for i, r in good.items() if i is not None])
-    assert set(distinct) == {i for i, c in classes.items() if c[1] == i}
+    classes = brute([(1 << 60 if i is None else i, r.text) for i, r in good.items()])  # the one without an id comes last
+    assert set(distinct) == {None if i == 1 << 60 else i for i, c in classes.items() if c[1] == i}
     assert set(redacted) == set(distinct)
     for i, r in redacted.items():
         found = secret_scan.spans(distinct[i].text)[1]
@@ -236,6 +236,21 @@ def test_pipeline_stage_by_stage(spark):
     assert [len(s) for s in P.STAGES] == [2] * 5
 
 
+def test_distinct_keeps_clean_documents_whatever_their_ids(spark):
+    """Null and shared ids, repeated rows and extra columns: only members of a class go, and each class keeps its first."""
+    import corpus_pipeline as P
+
+    text = lambda k: " ".join(f"{k}w{i}" for i in range(30))
+    rows = [(None, text("a")), (None, text("b")), (None, text("a")), (7, text("c")), (7, text("d")), (7, text("d")), (8, text("c") + " more"), (9, text("a")), (None, None), (10, ""), (None, text("e")), (None, text("e") + " x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' as lang", "'s' as source", "1L as n_chars", "5 as path", "map(1, 2) as m").repartition(3)
+    got = P.keep_distinct(spark, df, SF)
+    assert got.columns == df.columns
+    kept = [(r.doc_id, r.text) for r in got.collect()]
+    firsts = [x for x in kept if x[0] is None and x[1] and x[1].startswith("ew")]
+    assert len(firsts) == 1 and firsts[0][1] in (text("e"), text("e") + " x")
+    assert sorted((x for x in kept if x not in firsts), key=str) == sorted([(9, text("a")), (None, text("b")), (7, text("c")), (7, text("d")), (None, None), (10, "")], key=str)
+
+
 @pytest.mark.parametrize("name", ["documents"])
 def test_pipeline_of_nothing(spark, tmp_path, name):
     import corpus_pipeline as P
