@@ -123,3 +123,13 @@ def test_enrichment_failure_is_null(spark):
 
 def test_every_rule_is_registered():
     assert sum(n.startswith("rule") for n in page_queries.QUERIES) == 29
+
+
+def test_summaries_add_up_in_order_of_rank(spark):
+    """Four shares whose mean is 0.4, the limit of a theme, in one order and just below it in the other."""
+    shares = [0.2, 0.4, 0.6, 0.4]
+    rows = [(g, 0, f"t{i}", i + 1, x, 0.05, 0.5, 10, 5, 0.0) for g, xs in (("a", shares), ("b", shares[::-1])) for i, x in enumerate(xs)]
+    df = spark.createDataFrame(rows, "group_id string, cluster int, term string, rank int, coverage double, target_strength double, comp_strength double, score int, comp_count long, silhouette double")
+    for dealt in (df.orderBy("rank").coalesce(1), df.orderBy(F.desc("rank")).coalesce(1), df.repartition(5, "rank")):
+        got = {r.group_id: (r.avg_coverage, r.theme) for r in vectors.summaries(dealt).collect()}
+        assert got == {"a": (0.4, "gap"), "b": (0.39999999999999997, "contested")}
