@@ -1,6 +1,7 @@
 """Page analytics: fixtures with values worked out by hand, invariants, and every cheap query against its SQL."""
 
 import json
+import re
 
 import duckdb
 import numpy as np
@@ -133,3 +134,13 @@ def test_summaries_add_up_in_order_of_rank(spark):
     for dealt in (df.orderBy("rank").coalesce(1), df.orderBy(F.desc("rank")).coalesce(1), df.repartition(5, "rank")):
         got = {r.group_id: (r.avg_coverage, r.theme) for r in vectors.summaries(dealt).collect()}
         assert got == {"a": (0.4, "gap"), "b": (0.39999999999999997, "contested")}
+
+
+@pytest.mark.parametrize("name", ["n8_tfidf", "o1_stable_sort"])
+def test_pages_are_shuffled_and_phrases_are_not(spark, name):
+    """A profile is many times the size of its pages: it stays where its group is, and nothing kept goes to disk."""
+    plan = registry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    dealt = [re.sub(r"#\d+L?", "", keys) for keys in re.findall(r"hashpartitioning\((.*?)\)", plan)]
+    assert any(keys.startswith("group_id, ") for keys in dealt)
+    assert not [keys for keys in dealt if re.search("term|token|doc_idx|dim", keys)]
+    assert not [k for k, (_, df) in page_queries._KEPT.items() if df.storageLevel.useDisk]
