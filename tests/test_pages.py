@@ -136,7 +136,7 @@ def test_summaries_add_up_in_order_of_rank(spark):
         assert got == {"a": (0.4, "gap"), "b": (0.39999999999999997, "contested")}
 
 
-@pytest.mark.parametrize("name", ["n8_tfidf", "o1_stable_sort"])
+@pytest.mark.parametrize("name", ["n8_tfidf", "o1_stable_sort", "a15_vectors"])
 def test_pages_are_shuffled_and_phrases_are_not(spark, name):
     """A profile is many times the size of its pages: it stays where its group is, and nothing kept goes to disk."""
     plan = registry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
