@@ -170,8 +170,9 @@ def leaves(reps: DataFrame, leaf: int = LEAF, depth: int = DEPTH, recall: float
             kept = sizes.groupBy(F.col("parent").alias("path")).agg(F.max("size").alias("most")).join(large, "path").where(F.col("most") >= DENSE * F.col("size"))
             dense = common.written(kept.select("path", "size"), "dense")
             counted.append(dense)
-            found.append(_gathered(above, dense))
-            sizes = sizes.join(dense.select(F.col("path").alias("parent")), "parent", "left_anti")
+            if not dense.isEmpty():  # each gathering goes through all sets again
+                found.append(_gathered(above, dense))
+                sizes = sizes.join(dense.select(F.col("path").alias("parent")), "parent", "left_anti")
         sizes = sizes.select("path", "size")
         found.append(_gathered(members, sizes if level == depth else sizes.where(F.col("size") <= leaf)))
         large = sizes.where(F.col("size") > leaf)

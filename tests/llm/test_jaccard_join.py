@@ -181,3 +181,13 @@ def test_bitmap_loses_nothing(spark):
     want = {i for i in range(20_000) if i % 97 == 3}
     assert want <= got and len(got) <= len(want) + 40
     assert J.possible(df, wanted.where("false"), ["a", "b"]).count() == 0
+
+
+def test_no_pass_for_dense_nodes_where_there_are_none(spark, monkeypatch):
+    """Each gathering reads all sets again: two levels without a dense node take two of them."""
+    seen, gather = [], J._gathered
+    monkeypatch.setattr(J, "_gathered", lambda members, nodes: seen.append(1) or gather(members, nodes))
+    monkeypatch.setattr(J, "DENSE", 1.1)
+    reps = spark.createDataFrame([(i, [i % 2] * J.T) for i in range(40)], "rep_id long, sig array<int>")
+    found = J.leaves(reps, leaf=8, depth=2, recall=0.1).groupBy("rep_id").count().count()
+    assert found == 40 and len(seen) == 2
