@@ -6,7 +6,7 @@ Decoding concatenates the byte strings of the vocabulary.
 
 Texts are cut at special tokens and then before every space that a non-space follows. Such a
 space always begins a word of the vocabulary's own pattern, whatever stands around it, so pieces
-can be encoded apart. Texts go many at a time: their pieces are dictionary-encoded, each distinct
+can be encoded apart; so can those on both sides of a border of letter and punctuation. Texts go many at a time: their pieces are dictionary-encoded, each distinct
 piece is looked up or encoded once, and the results are gathered back by position. Only pieces not
 remembered meet the full pattern, and only words not remembered are merged. That holds for one kind of vocabulary file, which checked()
 makes sure of; other files raise a ValueError.
@@ -41,6 +41,12 @@ from pagelens.llm import common
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LOOSE = re.compile(r" (?!\S)")
 CUT = re.compile(r" (?=\S)")
+#: Begins a piece that no space stands before; texts that hold it are not cut in bulk.
+GLUED = "\x01"
+#: Pairs of neighbours between which a word always ends: a letter of every Unicode edition before or after ASCII punctuation
+#: other than the apostrophe, which may begin a contraction, such a letter before a line end, or after one that stands alone.
+_LETTER, _POINT = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:-@\[-`{-~"
+BORDERS = (f"([{_LETTER}])([\n{_POINT}])", f"([{_POINT}]|[{GLUED}{_LETTER}{_POINT}]\n)([{_LETTER}])")
 #: Pieces a worker remembers at most.
 REMEMBERED = 400_000
 
@@ -97,7 +103,7 @@ class Pieces:
         self.marks = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
 
     def _part(self, word: str) -> V:
-        return self.spaced.get(word[1:], self._spaced) if word[0] == " " and len(word) > 1 else self.bare.get(word, self.word)
+        return self.spaced.get(word[1:], self._spaced) if word[0] == " " and len(word) > 1 and word[1] != GLUED else self.bare.get(word, self.word)
 
     def _words(self, piece: str) -> V:
         words = self.plain(piece) if piece.isascii() else self.full(piece)
@@ -106,7 +112,9 @@ class Pieces:
         return self.combine([self._part(w) for w in words])
 
     def _spaced(self, piece: str) -> V:
-        """Value of a piece that follows a space, which is part of it."""
+        """Value of a piece that follows a space, which is part of it, or of a glued one."""
+        if piece[:1] == GLUED:
+            return self.word(piece[1:]) if piece[1:].isalpha() else self._words(piece[1:])
         return self.word(" " + piece) if piece.isalpha() else self._words(" " + piece)
 
     def head(self, piece: str) -> V:
@@ -124,20 +132,22 @@ class Pieces:
         return self._plain(text)
 
     def _plain(self, text: str) -> V:
+        if GLUED in text:
+            return self._words(text)
         first, *later = CUT.split(text)
         return self.combine([self.head(first), *self.spaced.all(later, self._spaced)])
 
     def gathered(self, texts: pa.Array) -> tuple[list[V], np.ndarray, np.ndarray]:
         """Values, the positions among them of the pieces of all texts in order, and where each text ends there."""
-        whole = pc.fill_null(texts, "")
+        whole = pc.fill_null(texts, "").cast(pa.large_string())  # marks of borders add to it
         strings = whole.to_pylist()
-        odd = [i for i, t in enumerate(strings) if LOOSE.search(t) or (self.marks is not None and self.marks.search(t))]
-        heads = [t.split(" ", 1)[0] for t in strings]
-        of_head = [self.head(h) for h in heads]
+        odd = {i: self.of(t) for i, t in enumerate(strings) if LOOSE.search(t) or GLUED in t or (self.marks is not None and self.marks.search(t))}
         if odd:  # cut one by one; each counts as one piece
-            for i in odd:
-                of_head[i], strings[i] = self.of(strings[i]), ""
-            whole = pa.array(strings, whole.type)
+            whole = pa.array(["" if i in odd else t for i, t in enumerate(strings)], whole.type)
+        for border in BORDERS:
+            whole = pc.replace_substring_regex(whole, border, rf"\1 {GLUED}\2")
+        heads = [t.split(" ", 1)[0] for t in whole.to_pylist()]
+        of_head = [odd[i] if i in odd else self.head(h) for i, h in enumerate(heads)]
         parts = pc.split_pattern(whole, " ")
         coded = parts.flatten().dictionary_encode()
         ends = np.cumsum(parts.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
@@ -175,8 +185,8 @@ def patterns() -> tuple[Callable[[str], list[str]], Callable[[str], list[str]]]:
     from tokenizers.pre_tokenizers import ByteLevel
 
     cut = ByteLevel(add_prefix_space=False).pre_tokenize_str
-    wide = regex.compile(r"[\p{L}\p{N}]").match
-    young = [c for c in map(chr, chain(range(0xD800), range(0xE000, 0x110000))) if unicodedata.category(c) == "Cn" and wide(c)]
+    wide = regex.findall(r"[\p{L}\p{N}]", "".join(map(chr, chain(range(0xD800), range(0xE000, 0x110000)))))
+    young = [c for c in wide if unicodedata.category(c) == "Cn"]
     newer = [c for c in young if len(cut("a" + c)) > 1 and len(cut("1" + c)) > 1]
     codes, spans = list(map(ord, newer)), []
     for c in codes:

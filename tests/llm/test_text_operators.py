@@ -439,3 +439,25 @@ def test_repeated_and_null_ids_in_token_files(spark, tmp_path):
 def test_repeated_rows_and_clashing_names(spark):
     df = docs(spark, ["secret=abcdefg", "secret=abcdefg"]).withColumns({"bpe": F.lit(1), "secrets": F.lit(2)})
     assert len({str(r.bpe) for r in byte_bpe.digests(df).collect()}) == len({str(r.secrets) for r in secret_scan.scan(df).collect()}) == 1
+
+
+def test_bpe_borders_of_letters_and_points(library):
+    rng, path = random.Random(8), byte_bpe.vocabulary_path()
+    signs = [*"aAsrtzéßÿÀ÷×1٣.,;:!?'\"()-[]`{}~$/\\\n\t\r \x01\x0b  ǅ中ªª", "'s", "'re", " '", "\n\n", "  ", "<|endoftext|>", "word", " word", ".\n"]
+    texts = ["".join(rng.choices(signs if i % 2 else signs[:40], k=rng.randrange(14))) for i in range(20000)]
+    wanted = [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+    flat, at = token_files.Library(path).ids(pa.array(texts), b"")
+    assert [flat[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == wanted
+    bpe, pieces = byte_bpe.codec(path)
+    values, index, ends = pieces.gathered(pa.array(texts))
+    flat, at = byte_bpe.joined([v[0] for v in values], index, ends)
+    assert [np.frombuffer(flat[a:b], np.uint32).tolist() for a, b in zip(at.tolist(), at.tolist()[1:], strict=False)] == wanted
+
+
+def test_bpe_pieces_meet_the_full_pattern_once_for_all_points():
+    pieces, met = token_files.Library(byte_bpe.vocabulary_path()).pieces, []
+    plain = pieces.plain
+    pieces.plain = lambda p: met.append(p) or plain(p)
+    words = ["".join(x) for x in zip("abcdefghij", "klmnopqrst", strict=True)]
+    pieces.gathered(pa.array([f"x {w}. {w}, {w}; {w}! {w}?\n{w} ({w}" for w in words]))
+    assert len(set(met)) <= 9, met  # signs and the text's first piece, not each word with each sign
