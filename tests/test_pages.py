@@ -144,3 +144,12 @@ def test_pages_are_shuffled_and_phrases_are_not(spark, name):
     assert any(keys.startswith("group_id, ") for keys in dealt)
     assert not [keys for keys in dealt if re.search("term|token|doc_idx|dim", keys)]
     assert not [k for k, (_, df) in page_queries._KEPT.items() if df.storageLevel.useDisk]
+
+
+@pytest.mark.parametrize("name", ["p10_map_of_dealt", "a17_cluster_labels", "a8_placements", "g12_arg_max", "p1_filter_all"])
+def test_queries_of_the_keyword_table_shuffle_no_phrases(spark, name):
+    """At most the clustered terms of a group, 180 rows, are dealt out by term, to meet their keywords."""
+    plan = registry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    dealt = {re.sub(r"#\d+L?", "", keys) for keys in re.findall(r"hashpartitioning\((.*?)\)", plan)}
+    assert any(keys.startswith("group_id, ") for keys in dealt)
+    assert not [keys for keys in dealt if re.search("token|doc_idx|dim", keys) or ("term" in keys and name != "a17_cluster_labels")]
