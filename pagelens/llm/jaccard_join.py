@@ -157,20 +157,24 @@ def _children(df: DataFrame) -> DataFrame:
 
 
 def leaves(reps: DataFrame, leaf: int = LEAF, depth: int = DEPTH, recall: float = RECALL) -> DataFrame:
-    """rep_id, path, size: the leaves with two sets or more, and who is in them."""
+    """rep_id, path, size: the leaves with two sets or more, and who is in them.
+
+    A level goes through the sets once: who is in its nodes is written out, without the minhash values.
+    """
     spark = reps.sparkSession
     runs = runs_for(recall, THRESHOLD, depth)
     nodes = reps.select("rep_id", "sig", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(runs).cast("long"))).alias("path"))
     found, counted, above, large = [], [], None, None
     for level in range(1, depth + 1):
-        members = _children(nodes)
+        children = _children(nodes)
+        members = common.written(children.select("rep_id", "path", "parent"), "members")
         sizes = common.written(members.groupBy("path").agg(F.count("*").alias("size"), F.first("parent").alias("parent")).where("size > 1"), "sizes")
-        counted.append(sizes)
+        counted += [members, sizes]
         if above is not None:
             kept = sizes.groupBy(F.col("parent").alias("path")).agg(F.max("size").alias("most")).join(large, "path").where(F.col("most") >= DENSE * F.col("size"))
             dense = common.written(kept.select("path", "size"), "dense")
             counted.append(dense)
-            if not dense.isEmpty():  # each gathering goes through all sets again
+            if not dense.isEmpty():
                 found.append(_gathered(above, dense))
                 sizes = sizes.join(dense.select(F.col("path").alias("parent")), "parent", "left_anti")
         sizes = sizes.select("path", "size")
@@ -180,7 +184,7 @@ def leaves(reps: DataFrame, leaf: int = LEAF, depth: int = DEPTH, recall: float
             break
         # Sets go on where they are, by their own minhash values: no table is joined with itself. The bitmap
         # may let a smaller node through, whose sets then share some more leaves, each pair still counted once.
-        above, nodes = members, possible(members, large, ["path"]).select("rep_id", "sig", "path")
+        above, nodes = members, possible(children, large, ["path"]).select("rep_id", "sig", "path")
     common.remove(spark, *counted)
     return reduce(DataFrame.unionByName, found)
 

@@ -191,3 +191,19 @@ def test_no_pass_for_dense_nodes_where_there_are_none(spark, monkeypatch):
     reps = spark.createDataFrame([(i, [i % 2] * J.T) for i in range(40)], "rep_id long, sig array<int>")
     found = J.leaves(reps, leaf=8, depth=2, recall=0.1).groupBy("rep_id").count().count()
     assert found == 40 and len(seen) == 2
+
+
+@pytest.mark.parametrize("dense", [1.1, 0.75])
+def test_each_level_reads_the_sets_once(spark, monkeypatch, dense):
+    """Two levels, with and without dense nodes: counting, gathering and splitting a level share one reading."""
+    monkeypatch.setattr(J, "DENSE", dense)
+    read = spark.sparkContext.accumulator(0)
+
+    def rows(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    reps = spark.createDataFrame([(i, [i % 2] * J.T) for i in range(40)], "rep_id long, sig array<int>").mapInArrow(rows, "rep_id long, sig array<int>")
+    assert J.leaves(reps, leaf=8, depth=2, recall=0.1).select("rep_id").distinct().count() == 40
+    assert read.value == 2 * 40
