@@ -1,6 +1,7 @@
 """Page analytics: fixtures with values worked out by hand, invariants, and every cheap query against its SQL."""
 
 import json
+import os
 import re
 
 import duckdb
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from pagelens.operators import audit, enrich, html, vectors
 from pagelens.operators import keywords as K
 from pagelens.plans import fixtures as X
-from pagelens.plans import page_queries, registry, table_queries
+from pagelens.plans import keyword_queries, page_queries, registry, table_queries
 from pagelens.sources import fetch
 from pagelens.streaming import pages as stream
 
@@ -153,3 +154,47 @@ def test_queries_of_the_keyword_table_shuffle_no_phrases(spark, name):
     dealt = {re.sub(r"#\d+L?", "", keys) for keys in re.findall(r"hashpartitioning\((.*?)\)", plan)}
     assert any(keys.startswith("group_id, ") for keys in dealt)
     assert not [keys for keys in dealt if re.search("token|doc_idx|dim", keys) or ("term" in keys and name != "a17_cluster_labels")]
+
+
+def shuffled(spark):
+    """Bytes that the session has written for shuffles so far."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty()
+    return sc.statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+
+def test_pages_are_shuffled_once_for_all_queries(spark):
+    """The first of them shuffles the pages, once; the others add next to nothing."""
+    sf = SF.replace("0.001", "0.01")
+    size, each = os.path.getsize(f"{sf}/pages.parquet"), []
+    for name in ["p1_filter_all", "a15_vectors"]:
+        before = shuffled(spark)
+        registry.queries()[name](spark, sf).write.format("noop").mode("overwrite").save()
+        each.append((shuffled(spark) - before) / size)
+    assert each[0] < 1.3 and max(each[1:]) < 0.2, each
+
+
+def numbered(df):
+    return sorted(tuple(r) for r in df.select("page_id", "group_id", "doc_idx").collect())
+
+
+def test_groups_without_a_shuffle_of_pages(spark):
+    """Languages that take turns, gaps, far ids, and blocks in which ids occur twice, in one language and in two."""
+    ids = [*range(0, 1500, 2), 599, 600, 601, 10**15, 10**15 + 1, 6000, 6000, 6001, 6002, 6002, 6002, 7000]
+    rows = [(p, f"https://h.org/{('en', 'de', 'fr')[i % 3]}/{i}" if i % 7 else "no address", "x") for i, p in enumerate(ids)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got, want = K.grouped_in_place(df), K.grouped(df)
+    assert got.columns == want.columns and numbered(got) == numbered(want) and len(numbered(got)) == len(ids)
+
+
+def test_dealt_pages_are_those_of_the_window(spark, monkeypatch):
+    """Few files or many, numbers broadcast or not: the same records."""
+    want, each = keyword_queries.docs(spark, SF), []
+    of = lambda df: sorted(map(str, df.select("group_id", "doc_idx", F.xxhash64("title", "meta_description", "hostname", "fields")).collect()))
+    for listed in (keyword_queries.LISTED, 0):
+        monkeypatch.setattr(keyword_queries, "LISTED", listed)
+        for size in ("128m", "8k"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            each.append(of(keyword_queries._placed(spark, SF)))
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert all(x == of(want) for x in each)
