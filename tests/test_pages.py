@@ -164,10 +164,10 @@ def shuffled(spark):
 
 
 def test_pages_are_shuffled_once_for_all_queries(spark):
-    """The first of them shuffles the pages, once; the others add next to nothing."""
+    """The first of them shuffles the pages, once; the others, and clustering, add next to nothing."""
     sf = SF.replace("0.001", "0.01")
     size, each = os.path.getsize(f"{sf}/pages.parquet"), []
-    for name in ["p1_filter_all", "a15_vectors"]:
+    for name in ["p1_filter_all", "a15_vectors", "a17_cluster_labels"]:
         before = shuffled(spark)
         registry.queries()[name](spark, sf).write.format("noop").mode("overwrite").save()
         each.append((shuffled(spark) - before) / size)
@@ -198,3 +198,13 @@ def test_dealt_pages_are_those_of_the_window(spark, monkeypatch):
             each.append(of(keyword_queries._placed(spark, SF)))
             spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert all(x == of(want) for x in each)
+
+
+def test_clusters_meet_their_keywords_where_these_are(spark):
+    docs = X.pages(spark).where("group_id = 'f'")
+    kw = vectors.selected(K.keywords(docs))
+    groups = vectors.clustered_groups(vectors.assembled(kw, docs))
+    got = vectors.members(kw, groups)
+    assert got.columns == [*kw.columns, "cluster", "k", "silhouette"]
+    of = lambda df: sorted(tuple(r) for r in df.select("group_id", "term", "cluster", "k", "silhouette").collect())
+    assert of(got) == of(kw.join(vectors.clustered(vectors.assembled(kw, docs)), ["group_id", "term"])) and got.count() == kw.count()
